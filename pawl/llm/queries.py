@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from pawl.llm.bpe_codec import round_trip
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
+from pawl.llm.token_counts import count_tokens
 from pawl.llm.url_filter import judge, rules_frame
 
 URL_RULES = [
@@ -24,10 +26,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, limit=1024)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 OP3_SQL = """
 WITH rules(verdict, rule_host, rule_path) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
