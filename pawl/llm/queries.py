@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pawl.llm.bpe_codec import round_trip
+from pawl.llm import language_id
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
 from pawl.llm.token_counts import count_tokens
@@ -35,6 +37,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out_id("doc_id", 3, 1)
+    models = language_id.fit(docs, ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    found = language_id.identify(rows, models, carry=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", F.round("bits_per_char", 6).alias("bits_per_char"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
