@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pawl.llm.bpe_codec import round_trip
-from pawl.llm import decontamination, language_id, toxicity
+from pawl.llm import decontamination, embedding_dedup, language_id, toxicity
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
 from pawl.llm.token_counts import count_tokens
@@ -24,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.held_out_id("doc_id", 5, 0)
     docs = table(spark, sf_dir, "documents")
