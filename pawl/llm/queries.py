@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pawl.llm.bpe_codec import round_trip
-from pawl.llm import decontamination, embedding_dedup, language_id, toxicity
+from pawl.llm import decontamination, embedding_dedup, language_id, minhash_dedup, toxicity
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
 from pawl.llm.token_counts import count_tokens
@@ -56,6 +56,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, limit=1024)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"), n_shards=24)
 
