@@ -85,10 +85,12 @@ def round_trip(
     pattern: str,
     text_col: str = "text",
     carry: Sequence[str] | None = ("doc_id",),
+    with_ids: bool = False,
 ) -> DataFrame:
     """Encode and decode in one pass. Appends n_tokens, ids_sha256, decoded_sha256, decoded_chars.
 
     Texts are handled as in encode; the digests are of the ids' bytes and of the decoded bytes.
+    with_ids appends the ids themselves too, as encode gives them.
     """
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary_path))
 
@@ -97,10 +99,11 @@ def round_trip(
         find, get = regex.compile(pattern).findall, known.__getitem__
 
         def work(texts: list[str | None]):
-            counts, hashes, decoded, chars = [], [], [], []
+            counts, hashes, decoded, chars, encoded = [], [], [], [], []
             for text in texts:
                 ids = b"".join(map(get, find(text))) if text else b""
                 counts.append(len(ids) // 4)
+                encoded.append(ids)
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 back, stream, n = hashlib.sha256(), Utf8Stream(), 0
                 for run in decode(np.frombuffer(ids, "<u4").tolist(), vocabulary):
@@ -108,7 +111,7 @@ def round_trip(
                     n += len(stream.feed(run))
                 decoded.append(back.hexdigest())
                 chars.append(n + len(stream.close()))
-            return counts, hashes, decoded, chars
+            return (counts, hashes, decoded, chars, encoded)[: 4 + with_ids]
 
         return work
 
@@ -117,5 +120,6 @@ def round_trip(
         ("ids_sha256", T.StringType(), pa.string()),
         ("decoded_sha256", T.StringType(), pa.string()),
         ("decoded_chars", T.LongType(), pa.int64()),
-    ]
+        ("ids", T.BinaryType(), pa.binary()),
+    ][: 4 + with_ids]
     return map_texts(docs, text_col, outputs, make, carry)

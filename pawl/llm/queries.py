@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pawl.llm.bpe_codec import round_trip
-from pawl.llm import decontamination, embedding_dedup, language_id, minhash_dedup, toxicity
+import corpus_pipeline
+from pawl.llm import decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, toxicity
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
 from pawl.llm.token_counts import count_tokens
@@ -39,6 +40,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.flat(license_scan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, carry=["doc_id"])
     return found.select(
@@ -102,8 +107,10 @@ FROM parsed p LEFT JOIN (SELECT * FROM fits WHERE nth = 1) f ON p.host = f.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    found = {"op3_url_filter": OP3_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
