@@ -11,14 +11,15 @@ import base64
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import regex
 
 #: Entries of each cache of a worker; a full cache is emptied, which costs time, never results.
-CACHE_ENTRIES = 250_000
-TRANSITIONS = 250_000
+CACHE_ENTRIES = 600_000
+TRANSITIONS = 500_000
 NO_TOKEN = -1
 
 
@@ -39,7 +40,9 @@ class Vocabulary:
         self.order = ids if order is None else order
         self.tokens = {i: t for t, i in ids.items()}
         self.longest = max(map(len, ids))
-        self.starts = {t[:n] for t in ids for n in range(1, len(t))}
+        #: 1 for a token, 2 for a beginning of a longer one, 3 for both
+        self.kinds = dict.fromkeys((t[:n] for t in ids for n in range(1, len(t))), 2)
+        self.kinds.update((t, self.kinds.get(t, 0) | 1) for t in ids)
         if any(bytes([b]) not in ids for b in range(256)):
             raise ValueError("a byte-level vocabulary has all 256 bytes")
         self.cuts: dict[bytes, tuple[bytes, bytes]] = {}
@@ -136,21 +139,27 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> tuple[list[int], list[bytes]]:
         """For each i up to the piece's length: tokens of piece[:i], and its last token."""
-        v = self.vocabulary
-        ids, starts, longest, adjacent = v.ids, v.starts, v.longest, v.adjacent
+        kind_of, adjacent = self.vocabulary.kinds.get, self.vocabulary.adjacent
         counts, last = [0], [b""]
         #: starts of tokens that may still reach beyond the current end
         live: list[int] = []
         for end in range(1, len(piece) + 1):
             live.append(end - 1)
-            found, still = None, []
+            fits, still = [], []
             for start in live:
                 part = piece[start:end]
-                if found is None and part in ids and (not start or adjacent(last[start], part)):
-                    found = (start, part)
-                if part in starts and end - start < longest:
-                    still.append(start)
-            start, part = found
+                kind = kind_of(part)
+                if kind is not None:
+                    if kind & 1:
+                        fits.append((start, part))
+                    if kind & 2:
+                        still.append(start)
+            # exactly one fits what comes before it, so the last is right if no other is
+            for start, part in fits[:-1]:
+                if not start or adjacent(last[start], part):
+                    break
+            else:
+                start, part = fits[-1]
             counts.append(counts[start] + 1)
             last.append(part)
             live = still
@@ -251,25 +260,30 @@ class Transducer:
         context, held = self.content[state]
         held += bytes([byte])
         end, last = len(held), [*self.last[state]]
-        found, still = None, []
+        kind_of, fits, still = v.kinds.get, [], []
         for start in [*self.live[state], end - 1]:
-            part = held[start:end]
-            if found is None and part in v.ids:
-                before = last[start] if start else context
-                if not before or v.adjacent(before, part):
-                    found = part
-            if part in v.starts and end - start < v.longest:
-                still.append(start)
-        last.append(found)
-        #: positions on the way back from each position from which a token may go on
-        shared: set[int] | None = None
-        for at in {*still, end}:
-            way = {at}
-            while at:
-                at -= len(last[at])
-                way.add(at)
-            shared = way if shared is None else shared & way
-        settled = max(shared)
+            part = held[start:]
+            kind = kind_of(part)
+            if kind is not None:
+                if kind & 1:
+                    fits.append((start, part))
+                if kind & 2:
+                    still.append(start)
+        # exactly one fits what comes before it, so the last is right if no other is
+        for start, part in fits[:-1]:
+            before = last[start] if start else context
+            if not before or v.adjacent(before, part):
+                break
+        else:
+            part = fits[-1][1]
+        last.append(part)
+        # the ways back from all positions from which a token may go on, until they have met
+        ways = {*still, end}
+        while len(ways) > 1:
+            at = max(ways)
+            ways.remove(at)
+            ways.add(at - len(last[at]))
+        settled = ways.pop()
         out, at = [], settled
         while at:
             out.append(v.ids[last[at]])
@@ -322,6 +336,34 @@ class Utf8Stream:
         return self.machine.decode(b"", True)
 
 
+def ranges(name: str) -> str:
+    """The characters up to U+FFFF of a class of the regex library, as the inside of brackets of re."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    code = lambda c: f"\\u{ord(c):04x}"
+    # a run of neighbours in `every` that crosses the gap of the surrogates takes them in, but no text has any
+    return "".join(code(run[0]) + "-" + code(run[-1]) for run in regex.findall(name + "+", every))
+
+
+def splitter(pattern: str):
+    """findall of the pattern; texts up to U+FFFF go by the faster library with the same classes spelled out."""
+    slow = regex.compile(pattern).findall
+    out, inside, rest = [], False, pattern
+    while rest:
+        token = regex.match(r"\\[pP]\{\w+\}|\\.|.", rest, regex.DOTALL)[0]
+        rest = rest[len(token) :]
+        if token in ("[", "]"):
+            inside = token == "["
+        elif token in (r"\s", r"\p{L}", r"\p{N}"):
+            token = ranges(token) if inside else f"[{ranges(token)}]"
+        elif token == r"\S" and not inside:
+            token = f"[^{ranges(chr(92) + 's')}]"
+        elif token[0] == "\\":
+            return slow
+        out.append(token)
+    fast = re.compile("".join(out)).findall
+    return lambda text: fast(text) if len(text.encode("utf-16-le")) == 2 * len(text) else slow(text)
+
+
 class Remembered(dict):
     """A dict that computes what it lacks and is emptied when full."""
 

@@ -8,11 +8,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pawl.llm.bpe import Remembered, Transducer, Utf8Stream, decode, loaded, vocabulary_file
+from pawl.llm.bpe import Remembered, Transducer, Utf8Stream, decode, loaded, splitter, vocabulary_file
 from pawl.llm.common import map_texts, quoted
 
 _kept: dict[int, Remembered] = {}
@@ -47,7 +46,7 @@ def encode(
 
     def make():
         known = piece_ids(*file.value)
-        find, get = regex.compile(pattern).findall, known.__getitem__
+        find, get = splitter(pattern), known.__getitem__
         return lambda texts: ([b"".join(map(get, find(text))) if text else b"" for text in texts],)
 
     return map_texts(docs, text_col, [("ids", T.BinaryType(), pa.binary())], make, carry)
@@ -96,7 +95,7 @@ def round_trip(
 
     def make():
         known, vocabulary = piece_ids(*file.value), loaded(*file.value)
-        find, get = regex.compile(pattern).findall, known.__getitem__
+        find, get = splitter(pattern), known.__getitem__
 
         def work(texts: list[str | None]):
             counts, hashes, decoded, chars, encoded = [], [], [], [], []

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pawl.llm.bpe import PrefixCounter, Remembered, TextCounts, loaded, vocabulary_file
+from pawl.llm.bpe import PrefixCounter, Remembered, TextCounts, loaded, splitter, vocabulary_file
 from pawl.llm.common import map_texts
 
 _kept: dict[int, tuple[PrefixCounter, Remembered]] = {}
@@ -50,8 +49,7 @@ def count_tokens(
 
     def make():
         counter, known = piece_counts(*file.value)
-        cut = regex.compile(pattern)
-        find, get = cut.findall, known.__getitem__
+        find, get = splitter(pattern), known.__getitem__
 
         def work(texts: list[str | None]):
             sizes, totals, chars = [], [], []
