@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pawl.functions import source
 from pawl.functions.columns import scaled, tenths
 from pawl.operators import compare, coverage, hints, lints, observe, ratchet, tighten
 from pawl.plans import adapters as A
@@ -451,3 +452,39 @@ def halstead_documents(spark, d):
 def carry_forward(spark, d):
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return A.table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far).alias("current"))
+
+
+@query()
+def code_lines_scan(spark, d):
+    files = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    return source.code_lines(files).select("file", F.size("code_lines").cast("long").alias("n_code_lines"), F.sha2(F.array_join(F.transform("code_lines", lambda x: x.cast("string")), ","), 256).alias("lines_sha256"))
+
+
+def _generated(spark, d):
+    """Rust files made from parts, whose counts follow from p_size."""
+    body = F.concat(
+        F.lit("#[allow(a)]\npub fn f(x: Rc<u8>) -> u8 {\n"),
+        F.repeat(F.lit("    if a { b(); }\n"), F.col("p_size") % 5),
+        F.repeat(F.lit("    x.unwrap(); // c\n\n"), F.col("p_size") % 3),
+        F.lit("    0\n}\n#[cfg(test)]\nmod t {\n fn g() {}\n}\n"),
+    )
+    name = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".rs"))
+    return A.table(spark, d, "part").select(F.lit("src").alias("root"), F.lit(0).alias("root_ord"), name.alias("file"), F.col("p_partkey").alias("ord"), body.alias("content"))
+
+
+@query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 'f' AS name, CAST(1 AS BIGINT) AS start_line,
+  CAST(4 + p_size % 5 + 2 * (p_size % 3) AS BIGINT) AS end_line, 1 + p_size % 5 AS cyclomatic, p_size % 5 AS cognitive, p_size % 3 AS panic_count,
+  p_size % 3 AS bare_panic_count, 1 AS allow_count, 1 AS pub_wrapper_count FROM part""")
+def function_metrics(spark, d):
+    rows = source.function_rows(source.measured(source.production(_generated(spark, d))))
+    return rows.select("file", "name", "start_line", "end_line", "cyclomatic", "cognitive", "panic_count", "bare_panic_count", "allow_count", "pub_wrapper_count")
+
+
+@query("""SELECT 'src/p' || p_partkey || '.rs' AS file, CAST(4 + p_size % 5 + p_size % 3 AS BIGINT) AS loc, 0 AS allow_count, 0 AS deny_warnings_count FROM part""")
+def file_metrics(spark, d):
+    return source.file_rows(source.measured(_generated(spark, d))).select("file", "loc", "allow_count", "deny_warnings_count")
+
+
+@query()
+def contract_hashes(spark, d):
+    return source.contracts(_generated(spark, d))
