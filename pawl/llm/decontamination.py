@@ -242,7 +242,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     words are hit; else the spans are removed. All other documents and columns stay as they are.
     """
     long_enough = F.size(F.filter(F.split(F.lower(quoted(item_text_col)), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")) >= least_item_words
-    found = scan(docs, benchmark.where(long_enough), window, text_col, item_col, item_text_col)
+    # numbered names, so that no column of the documents gives way to one of scan()
+    numbered = docs.select(*[quoted(c).alias(f"column_{k}") for k, c in enumerate(docs.columns)])
+    found = scan(numbered, benchmark.where(long_enough), window, f"column_{docs.columns.index(text_col)}", item_col, item_text_col)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * max_coverage))
     schema, columns = docs.schema, docs.columns
     place, n_spans = columns.index(text_col), len(columns)
@@ -258,4 +260,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                 )
             yield pa.RecordBatch.from_arrays(changed, names=columns)
 
-    return kept.select(*[quoted(c) for c in columns], "hit_spans").mapInArrow(run, schema)
+    return kept.select(*numbered.columns, "hit_spans").mapInArrow(run, schema)
