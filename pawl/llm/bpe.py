@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -18,8 +17,8 @@ from itertools import islice
 import regex
 
 #: Entries of each cache of a worker; a full cache is emptied, which costs time, never results.
-CACHE_ENTRIES = 600_000
-TRANSITIONS = 500_000
+CACHE_ENTRIES = 300_000
+TRANSITIONS = 250_000
 NO_TOKEN = -1
 
 
@@ -380,9 +379,6 @@ class Remembered(dict):
         return value
 
 
-_loaded: dict[tuple[str, bool], Vocabulary] = {}
-
-
 def vocabulary_file(path: str) -> tuple[bytes, bool]:
     """The file's bytes, read on the driver and sent to tasks, and whether it is JSON."""
     with open(path, "rb") as f:
@@ -390,12 +386,8 @@ def vocabulary_file(path: str) -> tuple[bytes, bool]:
 
 
 def loaded(content: bytes, is_json: bool) -> Vocabulary:
-    """The vocabulary of a file's content, built once in each worker process."""
-    key = (hashlib.sha256(content).hexdigest(), is_json)
-    if key not in _loaded:
-        make = Vocabulary.from_json_text if is_json else Vocabulary.from_ranks
-        _loaded[key] = make(content)
-    return _loaded[key]
+    """The vocabulary of a file's content."""
+    return Vocabulary.from_json_text(content) if is_json else Vocabulary.from_ranks(content)
 
 
 def decode(ids: Iterable[int], vocabulary: Vocabulary, chunk: int = 4096) -> Iterator[bytes]:

@@ -11,23 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pawl.llm.bpe import Remembered, Transducer, Utf8Stream, decode, loaded, splitter, vocabulary_file
-from pawl.llm.common import map_texts, quoted
-
-_kept: dict[int, Remembered] = {}
-
+from pawl.llm.bpe import Remembered, Transducer, Utf8Stream, Vocabulary, decode, loaded, splitter, vocabulary_file
+from pawl.llm.common import hold, holding, map_texts, quoted
 
 def little_endian(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def piece_ids(content: bytes, is_json: bool) -> Remembered:
-    """Piece to the bytes of its ids, by the transducer of this worker process."""
-    vocabulary = loaded(content, is_json)
-    if id(vocabulary) not in _kept:
+def piece_ids(content: bytes, is_json: bool) -> tuple[Remembered, Vocabulary]:
+    """Piece to the bytes of its ids, by the transducer of this worker process; and the vocabulary."""
+
+    def build():
+        vocabulary = loaded(content, is_json)
         transducer = Transducer(vocabulary)
-        _kept[id(vocabulary)] = Remembered(lambda piece: little_endian(transducer.encode(piece.encode())))
-    return _kept[id(vocabulary)]
+        return Remembered(lambda piece: little_endian(transducer.encode(piece.encode()))), vocabulary
+
+    return hold("bpe ids " + hashlib.sha256(content).hexdigest(), build)
 
 
 def encode(
@@ -45,9 +44,9 @@ def encode(
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary_path))
 
     def make():
-        known = piece_ids(*file.value)
+        known, _ = piece_ids(*file.value)
         find, get = splitter(pattern), known.__getitem__
-        return lambda texts: ([b"".join(map(get, find(text))) if text else b"" for text in texts],)
+        return holding(lambda texts: ([b"".join(map(get, find(text))) if text else b"" for text in texts],))
 
     return map_texts(docs, text_col, [("ids", T.BinaryType(), pa.binary())], make, carry)
 
@@ -94,7 +93,7 @@ def round_trip(
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary_path))
 
     def make():
-        known, vocabulary = piece_ids(*file.value), loaded(*file.value)
+        known, vocabulary = piece_ids(*file.value)
         find, get = splitter(pattern), known.__getitem__
 
         def work(texts: list[str | None]):
@@ -112,7 +111,7 @@ def round_trip(
                 chars.append(n + len(stream.close()))
             return (counts, hashes, decoded, chars, encoded)[: 4 + with_ids]
 
-        return work
+        return holding(work)
 
     outputs = [
         ("n_tokens", T.LongType(), pa.int64()),

@@ -75,6 +75,27 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+_held: dict[str, object] = {}
+
+
+def hold(key: str, build: Callable[[], object]) -> object:
+    """What build() makes, kept in this worker process for later tasks of the same key.
+
+    Workers outlive tasks and serve one operator after another; taking hold of another key lets go
+    of what was held before, so that the operators' caches never add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def holding(work):
+    """Marks a function that map_texts may run beside what is held."""
+    work.holds = True
+    return work
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -97,6 +118,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        if not getattr(work, "holds", False):
+            _held.clear()
         for batch in batches:
             for part in slices(batch, TEXT):
                 found = work(part.column(n_kept).to_pylist())

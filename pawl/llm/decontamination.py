@@ -153,12 +153,28 @@ def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_co
     yield context.broadcast(Automaton(items, window))
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+#: Words begin to end - 1, characters start to stop - 1.
+SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("begin", "end", "start", "stop")]))
+ARROW_SPANS = pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end", "start", "stop")]))
+
+
+def located(text: str | None, hit: Sequence[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans of words with the characters from their first word's start to their last one's end."""
+    if not hit:
+        return []
+    data = text.encode()
+    places = [m.span() for m in WORD.finditer(data)]
+    out, chars, at = [], 0, 0
+    for begin, end in hit:
+        start, stop = places[begin][0], places[end - 1][1]
+        chars += len(data[at:start].decode())
+        first, chars, at = chars, chars + len(data[start:stop].decode()), stop
+        out.append({"begin": begin, "end": end, "start": first, "stop": chars})
+    return out
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] | None = None, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """Append n_words, n_hit, hit_items (sorted) and hit_spans (word ranges) for each whole text.
+    """Append n_words, n_hit, hit_items (sorted) and hit_spans for each whole text.
 
     Words are runs of 0-9, A-Z (lower-cased), a-z and characters beyond ASCII. A word is hit if it
     lies in an occurrence of a window of an item: `window` words in a row, or a whole shorter item.
@@ -183,7 +199,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
                     words = words_of(text)
                     hit, found = own.scan(words)
                     counts.append(len(words))
-                    spans.append([{"begin": a, "end": b} for a, b in hit])
+                    spans.append(located(text, hit))
                     items.append(sorted(found))
                 return counts, spans, items
 
@@ -220,18 +236,16 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["total"])
 
 
-def without_spans(text: str, spans: Sequence[tuple[int, int]]) -> str:
-    """The text without the words of the spans and what lies between them."""
-    data = text.encode()
-    places = [m.span() for m in WORD.finditer(data)]
-    out, at = [], 0
-    for begin, end in sorted(spans):
-        start = places[begin][0]
-        if start > at:
-            out.append(data[at:start])
-        at = max(at, places[end - 1][1])
-    out.append(data[at:])
-    return b"".join(out).decode()
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the characters of ascending spans."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def add(acc: Column, x: Column) -> Column:
+        kept = F.substring(text, acc["at"] + F.lit(1), F.greatest(F.lit(0), x["start"] - acc["at"]))
+        return F.struct(F.concat(acc["out"], kept).alias("out"), F.greatest(acc["at"], x["stop"]).alias("at"))
+
+    left = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), F.length(text))))
+    return F.when(F.size(spans) > 0, left).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, least_item_words: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -246,18 +260,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     numbered = docs.select(*[quoted(c).alias(f"column_{k}") for k, c in enumerate(docs.columns)])
     found = scan(numbered, benchmark.where(long_enough), window, f"column_{docs.columns.index(text_col)}", item_col, item_text_col)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * max_coverage))
-    schema, columns = docs.schema, docs.columns
-    place, n_spans = columns.index(text_col), len(columns)
-
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(place), batch.column(n_spans)
-            changed = list(batch.columns[:n_spans])
-            if any(s.as_py() for s in spans):
-                changed[place] = pa.array(
-                    [without_spans(t, [(x["begin"], x["end"]) for x in s]) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)],
-                    texts.type,
-                )
-            yield pa.RecordBatch.from_arrays(changed, names=columns)
-
-    return kept.select(*numbered.columns, "hit_spans").mapInArrow(run, schema)
+    place = docs.columns.index(text_col)
+    columns = [F.col(f"column_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    columns[place] = without_spans(F.col(f"column_{place}"), F.col("hit_spans")).alias(text_col)
+    return kept.select(*columns)

@@ -148,7 +148,7 @@ class LanguageModels:
         cost[grams.at == 0] = 0.0
         return np.column_stack([np.add.reduceat(cost, grams.starts, axis=0), grams.lengths - 1])
 
-    def scorer(self, most: int = 300_000, longest: int = 40):
+    def scorer(self, most: int = 200_000, longest: int = 40):
         """A function from texts to bits a character for each language; NaN without letters.
 
         Words met before are looked up; the new words of a batch are computed together.

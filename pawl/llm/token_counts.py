@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -11,17 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pawl.llm.bpe import PrefixCounter, Remembered, TextCounts, loaded, splitter, vocabulary_file
-from pawl.llm.common import map_texts
+from pawl.llm.common import hold, holding, map_texts
 
-_kept: dict[int, tuple[PrefixCounter, Remembered]] = {}
+def piece_counts(content: bytes, is_json: bool) -> tuple[PrefixCounter, Remembered]:
+    """The prefix counter of this worker process, and piece to its number of tokens."""
 
+    def build():
+        counter = PrefixCounter(loaded(content, is_json))
+        return counter, Remembered(lambda piece: counter.count(piece.encode()))
 
-def piece_counts(content: bytes, is_json: bool) -> tuple[PrefixCounter, Remembered]:
-    vocabulary = loaded(content, is_json)
-    if id(vocabulary) not in _kept:
-        counter = PrefixCounter(vocabulary)
-        _kept[id(vocabulary)] = counter, Remembered(lambda piece: counter.count(piece.encode()))
-    return _kept[id(vocabulary)]
+    return hold("token counts " + hashlib.sha256(content).hexdigest(), build)
 
 
 def count_tokens(
@@ -76,7 +76,7 @@ def count_tokens(
             inside = TextCounts(pieces[whole], pattern, counter).cut_to(left) if left else 0
             return sum(map(len, pieces[:whole])) + inside
 
-        return work
+        return holding(work)
 
     outputs = [
         ("n_bytes", T.LongType(), pa.int64()),

@@ -57,7 +57,7 @@ class FactorizationMachine:
         return self.bias + float(self.weights[at].sum()) + pairs
 
     def scorer(self):
-        known = Remembered(lambda word: tuple(self.slots[k] for k in slots_of(word) if k in self.slots), most=400_000)
+        known = Remembered(lambda word: tuple(self.slots[k] for k in slots_of(word) if k in self.slots), most=200_000)
 
         def score(texts: Sequence[str | None]) -> list[float]:
             out = []
@@ -139,13 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
         .limit(train_rows)
     )
     joined = docs.select(quoted(id_col).alias("__doc"), quoted(text_col).alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    rows, toxic = [], []
-    found = hashed_terms(joined.select("__id", "__toxic", "text"), "text", ["__id", "__toxic"])
-    for batch in found.toArrow().to_batches(2000):
-        rows += [(int(i), np.asarray(s, "i4")) for i, s in zip(batch["__id"].to_pylist(), batch["slots"].to_pylist(), strict=True)]
-        toxic += batch["__toxic"].to_pylist()
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0], rows[k][1].tolist()))
-    return FactorizationMachine.learn([rows[k][1] for k in order], np.array([toxic[k] for k in order], "f8").clip(0, 1))
+    found = hashed_terms(joined.select("__id", "__toxic", "text"), "text", ["__id", "__toxic"]).toArrow()
+    lists = found["slots"].combine_chunks()
+    bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    rows = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    ids, toxic = found["__id"].to_pylist(), np.asarray(found["__toxic"], "f8").clip(0, 1)
+    order = sorted(range(len(rows)), key=lambda k: (ids[k], zlib.crc32(rows[k].tobytes())))
+    return FactorizationMachine.learn([rows[k] for k in order], toxic[order])
 
 
 def rate(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
