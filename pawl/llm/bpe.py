@@ -11,6 +11,7 @@ import base64
 import codecs
 import json
 import re
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -18,8 +19,9 @@ import regex
 
 #: Entries of each cache of a worker; a full cache is emptied, which costs time, never results.
 CACHE_ENTRIES = 300_000
-TRANSITIONS = 250_000
+TRANSITIONS = 500_000
 NO_TOKEN = -1
+BYTES = [bytes([b]) for b in range(256)]
 
 
 def printable_bytes() -> dict[str, int]:
@@ -241,7 +243,7 @@ class Transducer:
         self.live: list[list[int]] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.state(b"", b"", [b""], [])
+        self.state(b"", b"", [b""], [0])
 
     def state(self, context: bytes, held: bytes, last: list[bytes], live: list[int]) -> int:
         key = (context, held)
@@ -257,10 +259,10 @@ class Transducer:
         """The next state and the ids given out; made once, then found in the table."""
         v = self.vocabulary
         context, held = self.content[state]
-        held += bytes([byte])
-        end, last = len(held), [*self.last[state]]
+        held += BYTES[byte]
+        end, last = len(held), self.last[state].copy()
         kind_of, fits, still = v.kinds.get, [], []
-        for start in [*self.live[state], end - 1]:
+        for start in self.live[state]:
             part = held[start:]
             kind = kind_of(part)
             if kind is not None:
@@ -277,12 +279,16 @@ class Transducer:
             part = fits[-1][1]
         last.append(part)
         # the ways back from all positions from which a token may go on, until they have met
-        ways = {*still, end}
+        still.append(end)
+        ways = still.copy()
         while len(ways) > 1:
-            at = max(ways)
-            ways.remove(at)
-            ways.add(at - len(last[at]))
-        settled = ways.pop()
+            at = ways.pop()
+            at -= len(last[at])
+            if at > ways[-1]:
+                ways.append(at)
+            elif at not in ways:
+                insort(ways, at)
+        settled = ways[0]
         out, at = [], settled
         while at:
             out.append(v.ids[last[at]])
