@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Sequence
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from pawl.llm.common import map_texts
 
-#: Short notices (licence, text); full licence texts can be given to scan() beside or instead of them.
+#: Short notices (licence, text).
 NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -36,6 +37,63 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+
+def gnu(kind: str, license: str, version: str) -> list[str]:
+    """The header that a GNU licence asks for: its first paragraph, and all of it."""
+    grant = f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU {license} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    hope = f"This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license} for more details."
+    copy = f"You should have received a copy of the GNU {license} along with this {kind}."
+    return [grant, f"{grant} {hope} {copy}"]
+
+
+#: Standard headers (licence, text).
+HEADERS = [
+    *(("GPL-2.0", text) for text in gnu("program", "General Public License", "2")),
+    *(("GPL-3.0", text) for text in gnu("program", "General Public License", "3")),
+    *(("LGPL-2.0", text) for text in gnu("library", "Library General Public License", "2")),
+    *(("LGPL-2.1", text) for text in gnu("library", "Lesser General Public License", "2.1")),
+    *(("LGPL-3.0", text) for text in gnu("library", "Lesser General Public License", "3")),
+    *(("AGPL-3.0", text) for text in gnu("program", "Affero General Public License", "3")),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MPL-1.1",
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        'https://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing rights and limitations under the License.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files beside this module, and what they grant without the disclaimer if that is short."""
+    out = []
+    for file in sorted(resources.files("pawl.llm.licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+            out.append((name, text))
+            if name in GRANTS:
+                out.append((name, text[: text.index("THE SOFTWARE IS PROVIDED" if "THE SOFTWARE IS PROVIDED" in text else "THIS SOFTWARE IS PROVIDED")]))
+    return out
+
+
+#: Licences whose first part alone names them; their disclaimers are shared with others.
+GRANTS = ("BSD-2-Clause", "BSD-3-Clause", "MIT")
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """Notices, standard headers and full texts."""
+    return NOTICES + HEADERS + full_texts()
+
+
 WORDS = re.compile(r"[^\W_]+")
 PARAGRAPHS = re.compile(r"\n\s*\n")
 

@@ -41,7 +41,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.flat(license_scan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"], windows=True))
+    return license_scan.flat(license_scan.scan(table(spark, sf_dir, "documents"), license_scan.all_templates(), carry=["doc_id"], windows=True))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,15 @@ def test_license_windows_are_all_runs_of_words():
         assert bool(found) == (max(dice) >= 0.8)
         if found:
             assert found[0][0] / found[0][1] == max(dice)
+
+
+def test_license_query_knows_full_texts_and_headers(spark, tmp_path):
+    full = dict(license_scan.full_texts()[::-1])
+    names = sorted(full)
+    header = "This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version."
+    prose = "and then we went on to say "
+    texts = [f"{prose * 30} Copyright (c) 2020 A. Body\n\n{full['MIT']} {prose * 30}", prose * 9 + " ".join(full["BSD-3-Clause"].split()) + prose * 9, header, *(full[n] for n in names)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert [found[k].licenses for k in range(3)] == ["MIT", "BSD-3-Clause", "GPL-2.0"]
+    assert [(found[k + 3].best_license, found[k + 3].best_dice) for k in range(len(names))] == [(n, 1.0) for n in names]
