@@ -24,6 +24,11 @@ FACTORS = 8
 MIN_DEVIATIONS = 4.5
 MIN_DOCS = 4
 MAX_FEATURES = 4096
+#: Of so many most frequent terms pairs are tested too: both are features if the share of texts with
+#: both differs by so many standard errors, and by PAIR_GAIN more than either term's own share does.
+PAIR_TERMS = 2048
+PAIR_DEVIATIONS = 6.0
+PAIR_GAIN = 3.0
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,6 +43,37 @@ def slots_of(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(t.encode("utf-8", "surrogatepass")) % SLOTS for t in terms)
 
 
+def standing_apart(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By how many standard errors shares in toxic and other texts differ."""
+    share = (in1 + in0) / (n1 + n0)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    return np.abs(in1 / n1 - in0 / n0) / error
+
+
+def telling_pairs(rows: Sequence[np.ndarray], toxic: np.ndarray, terms: np.ndarray, alone: np.ndarray, batch: int = 1000) -> np.ndarray:
+    """For each of `terms` the highest deviation of a pair that tells more than its terms alone, or 0."""
+    place = np.full(SLOTS, -1)
+    place[terms] = np.arange(len(terms))
+    both = np.zeros((2, len(terms), len(terms)), "f4")
+    for label in (0, 1):
+        mine = np.flatnonzero(toxic == label)
+        for begin in range(0, len(mine), batch):
+            own = mine[begin : begin + batch]
+            x = np.zeros((len(own), len(terms)), "f4")
+            for i, r in enumerate(own):
+                x[i, (p := place[rows[r]])[p >= 0]] = 1.0
+            both[label] += x.T @ x
+    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    found = np.zeros(len(terms))
+    for i in range(len(terms)):
+        in1, in0 = both[1, i].astype("f8"), both[0, i].astype("f8")
+        pair = standing_apart(in1, in0, n1, n0)
+        tells = (in1 + in0 >= MIN_DOCS) & (pair >= PAIR_DEVIATIONS) & (pair >= np.maximum(alone[i], alone) + PAIR_GAIN)
+        tells[i] = False
+        found[i] = pair[tells].max(initial=0.0)
+    return found
+
+
 class FactorizationMachine:
     """bias + sum of weights + sum over pairs of <v_i, v_j>, over the hashed terms of a text.
 
@@ -80,9 +116,10 @@ class FactorizationMachine:
         whose = np.repeat(toxic, [len(r) for r in rows])
         in1 = np.bincount(flat[whose == 1], minlength=SLOTS)
         in0 = np.bincount(flat[whose == 0], minlength=SLOTS)
-        share = (in1 + in0) / (n1 + n0)
-        error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-        deviations = np.abs(in1 / n1 - in0 / n0) / error
+        deviations = standing_apart(in1, in0, n1, n0)
+        often = np.argsort(-(in1 + in0), kind="stable")[:PAIR_TERMS]
+        often = often[(in1 + in0)[often] >= MIN_DOCS]
+        deviations[often] = np.maximum(deviations[often], telling_pairs(rows, toxic, often, deviations[often]))
         chosen = np.flatnonzero((deviations >= MIN_DEVIATIONS) & (in1 + in0 >= MIN_DOCS))
         chosen = chosen[np.argsort(-deviations[chosen], kind="stable")][:MAX_FEATURES]
         slots = {int(s): i for i, s in enumerate(chosen)}
