@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,8 +18,12 @@ CHUNKS = 11
 CHUNK_SYMBOLS = 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Signatures of this distance or less are candidates: by pigeonhole one of 11 chunks then differs
-#: in one symbol at most. At a similarity of 0.85 a pair is farther apart with a chance of 2e-4.
+#: in one symbol at most. At a similarity of 0.85 a pair is farther apart with a chance of 1.5e-4;
+#: plan() has the numbers for other similarities.
 DISTANCE = 21
+#: The chance of a pair at the limit to be farther apart than compared, at most; chunks at most.
+MISSED = 1.6e-4
+MOST_CHUNKS = 16
 #: Signatures that a task compares with as many others, and documents that it compares exactly.
 SIGNATURE_BLOCK = 2048
 DOCUMENT_BLOCK = 384
@@ -25,6 +31,23 @@ DOCUMENT_BLOCK = 384
 _random = np.random.default_rng(23)
 XOR = _random.integers(0, 1 << 63, SYMBOLS, dtype="u8") * np.uint64(2) + np.uint64(1)
 MULTIPLY = _random.integers(0, 1 << 63, SYMBOLS, dtype="u8") * np.uint64(2) + np.uint64(1)
+_more = _random.integers(0, 1 << 63, (2, MOST_CHUNKS * CHUNK_SYMBOLS - SYMBOLS), dtype="u8") * np.uint64(2) + np.uint64(1)
+XOR, MULTIPLY = np.concatenate([XOR, _more[0]]), np.concatenate([MULTIPLY, _more[1]])
+
+
+def missed(chunks: int, chunk_symbols: int, percent: int) -> float:
+    """The chance that signatures of sets of a similarity differ in more than 2 * chunks - 1 symbols."""
+    n, q = chunks * chunk_symbols, (100 - percent) / 100 * 255 / 256
+    return sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(2 * chunks, n + 1))
+
+
+def plan(percent: int) -> tuple[int, int]:
+    """Chunks and symbols of a chunk: the longest chunks, then the fewest, that miss MISSED at most."""
+    for size in range(CHUNK_SYMBOLS, 1, -1):
+        for chunks in range(CHUNKS, MOST_CHUNKS + 1):
+            if missed(chunks, size, percent) <= MISSED:
+                return chunks, size
+    return MOST_CHUNKS, 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,15 +73,15 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SYMBOLS 8-bit symbols for each set: mixed low bits of the least shingle under each permutation."""
-    out = np.zeros((len(sets), SYMBOLS), "u1")
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
+    """8-bit symbols for each set: mixed low bits of the least shingle under each permutation."""
+    out = np.zeros((len(sets), symbols), "u1")
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[k] for k in full])
         sizes = np.array([len(sets[k]) for k in full])
         starts = np.cumsum(sizes) - sizes
-        for i in range(SYMBOLS):
+        for i in range(symbols):
             least = np.minimum.reduceat(mixed_once(flat, i), starts)
             out[full, i] = mixed(least) & np.uint64(255)
     return out
@@ -69,14 +92,14 @@ def mixed_once(flat: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_keys(signature: np.ndarray) -> np.ndarray:
+def chunk_keys(signature: np.ndarray, n_chunks: int = CHUNKS, size: int = CHUNK_SYMBOLS) -> np.ndarray:
     """A key for each chunk and each symbol of it left out: two chunks share a key if they differ
     in one symbol at most. The key holds the other symbols whole, so it has no collisions."""
-    chunks = signature.reshape(len(signature), CHUNKS, CHUNK_SYMBOLS).astype("i8")
-    out = np.empty((len(signature), CHUNKS, CHUNK_SYMBOLS), "i8")
-    for skipped in range(CHUNK_SYMBOLS):
-        key = np.arange(CHUNKS)[None, :] * CHUNK_SYMBOLS + skipped + np.zeros((len(signature), 1), "i8")
-        for k in range(CHUNK_SYMBOLS):
+    chunks = signature.reshape(len(signature), n_chunks, size).astype("i8")
+    out = np.empty((len(signature), n_chunks, size), "i8")
+    for skipped in range(size):
+        key = np.arange(n_chunks)[None, :] * size + skipped + np.zeros((len(signature), 1), "i8")
+        for k in range(size):
             if k != skipped:
                 key = key << 8 | chunks[:, :, k]
         out[:, :, skipped] = key
@@ -108,8 +131,8 @@ class Forest:
         return pa.table({"a": names.take(pa.array(moved, pa.int64())), "b": names.take(pa.array([tops[i] for i in moved], pa.int64()))})
 
 
-def close_signatures(found: pa.Table) -> pa.Table:
-    """A spanning forest of the pairs of signatures that are DISTANCE or less apart."""
+def close_signatures(found: pa.Table, distance: int = DISTANCE) -> pa.Table:
+    """A spanning forest of the pairs of signatures that are `distance` or less apart."""
     found = found.combine_chunks()
     sig = np.frombuffer(b"".join(found["sig"].to_pylist()), "u1").reshape(found.num_rows, -1)
     across = found["low"][0].as_py() != found["high"][0].as_py()
@@ -121,7 +144,7 @@ def close_signatures(found: pa.Table) -> pa.Table:
         apart = np.zeros((len(here), found.num_rows), "u1")
         for k in range(sig.shape[1]):
             apart += here[:, k, None] != sig[None, :, k]
-        i, j = np.nonzero(apart <= DISTANCE)
+        i, j = np.nonzero(apart <= distance)
         i += begin
         keep = (i < j) & (own[i] != own[j]) if across else i < j
         for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
@@ -185,20 +208,21 @@ def near_duplicates(
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     1. One pass makes each text's number of shingles, a 128-bit hash of its set and its signature
-       of 66 symbols of 8 bits. Equal sets are one class, whose least id stands for it.
+       of 8-bit symbols, 66 at 85 percent and 70 at 80. Equal sets are one class, whose least id stands for it.
     2. Each class has a key for every chunk and every symbol left out of it. The least class of a
        shared key leads it; classes are gathered by leader and compared by signature distance.
     3. The components of close signatures bring the texts of their classes together once, and sets
        are compared in full. Components of these links are the result.
     Leaders' groups and components of many rows are compared in pairs of blocks, each by a task of
     its own. Groups give spanning forests, never their pairs; no link between the compared is lost.
-    Signatures are made for a similarity of 0.8 and more (percent >= 80): at 0.8 the chance that a
-    pair lies within the signature distance is 0.99, at 0.85 0.9998.
+    The number of symbols and the distance follow from percent: the chance that a pair at the limit
+    lies beyond the distance is MISSED at most (9e-5 at 80 percent, 1.5e-4 at 85).
 
     A document without words, with a null text or a null id is linked with nothing. Repeated rows
     are equal sets; rows of one id with different texts are judged each by its own text. Other
     columns are ignored. Returns for each row doc_id, n_shingles, component_id, kept.
     """
+    n_chunks, chunk_symbols = plan(percent)
     outputs = [
         ("n_shingles", T.LongType(), pa.int64()),
         ("set_key", T.BinaryType(), pa.binary()),
@@ -208,7 +232,7 @@ def near_duplicates(
     def make():
         def work(texts):
             sets = [shingle_set(words_of(t), shingle_words) for t in texts]
-            return [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [r.tobytes() for r in signatures(sets)]
+            return [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [r.tobytes() for r in signatures(sets, n_chunks * chunk_symbols)]
 
         return work
 
@@ -221,7 +245,7 @@ def near_duplicates(
         for batch in batches:
             if batch.num_rows:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
-                keys = chunk_keys(sig)
+                keys = chunk_keys(sig, n_chunks, chunk_symbols)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4")), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "keys"])
 
@@ -232,7 +256,11 @@ def near_duplicates(
     # ids of rows with different texts may lead several classes; all their signatures are compared
     with_sig = gathered.join(classes.select("rep", "sig"), "rep")
     blocks = in_blocks(with_sig, "leader", "rep", SIGNATURE_BLOCK)
-    candidates = blocks.groupBy("leader", "low", "high").applyInArrow(close_signatures, f"a {kind}, b {kind}")
+
+    def close_ones(found: pa.Table) -> pa.Table:
+        return close_signatures(found, 2 * n_chunks - 1)
+
+    candidates = blocks.groupBy("leader", "low", "high").applyInArrow(close_ones, f"a {kind}, b {kind}")
     close = durable(connected_components(candidates))
 
     texts = named.join(close, F.col("doc_id") == F.col("node")).select("doc_id", "component", "text")

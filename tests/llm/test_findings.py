@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from pawl.llm import toxicity
+from pawl.llm import minhash_dedup, toxicity
 
 
 def test_toxicity_learns_terms_that_matter_in_pairs_only():
@@ -18,3 +18,16 @@ def test_toxicity_learns_terms_that_matter_in_pairs_only():
     model = toxicity.FactorizationMachine.learn(rows[:2000], np.array(toxic[:2000]), epochs=60)
     right = [(x >= 0.5) == bool(y) for x, y in zip(model.scorer()(texts[2000:]), toxic[2000:])]
     assert sum(right) >= 950
+
+
+def test_few_pairs_at_the_limit_are_missed():
+    rng = np.random.default_rng(4)
+    n = 4000
+    for percent, own in ((80, 5), (85, 3)):
+        chunks, size = minhash_dedup.plan(percent)
+        common = round(2 * own * percent / (100 - percent))
+        sets = [rng.integers(0, 1 << 63, common + 2 * own, dtype="u8") for _ in range(n)]
+        one = minhash_dedup.signatures([x[:-own] for x in sets], chunks * size)
+        other = minhash_dedup.signatures([np.concatenate([x[: -2 * own], x[-own:]]) for x in sets], chunks * size)
+        assert ((one != other).sum(axis=1) > 2 * chunks - 1).sum() <= 4
+    assert minhash_dedup.plan(85) == (minhash_dedup.CHUNKS, minhash_dedup.CHUNK_SYMBOLS)
