@@ -32,7 +32,7 @@ class Automaton:
     some item. A window is `window` words in a row of an item, or a whole shorter item.
     """
 
-    def __init__(self, items: Sequence[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Sequence[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.length, self.link = [0], [-1]
@@ -141,7 +141,7 @@ def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_co
     Items pass the driver one at a time, so neither it nor a broadcast grows with the benchmark.
     """
     context = benchmark.sparkSession.sparkContext
-    rows = benchmark.where(quoted(id_col).isNotNull()).select(quoted(id_col).cast("string").alias("id"), quoted(text_col).cast("string").alias("text")).orderBy("id", "text")
+    rows = benchmark.select(quoted(id_col).cast("string").alias("id"), quoted(text_col).cast("string").alias("text")).orderBy("id", "text")
     items, size = [], 0
     for name, text in rows.toLocalIterator():
         words = words_of(text)
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
 
     Words are runs of 0-9, A-Z (lower-cased), a-z and characters beyond ASCII. A word is hit if it
     lies in an occurrence of a window of an item: `window` words in a row, or a whole shorter item.
-    Null or empty texts and items have no words; items with a null id are left out. Equal items all
+    Null or empty texts and items have no words; items with a null id hit without being listed. Equal items all
     count. With several automata the text makes one narrow pass for each. Input columns of these
     names give way.
     """
@@ -200,7 +200,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
                     hit, found = own.scan(words)
                     counts.append(len(words))
                     spans.append(located(text, hit))
-                    items.append(sorted(found))
+                    items.append(sorted(found - {None}))
                 return counts, spans, items
 
             return work

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from pawl.llm import minhash_dedup, toxicity
+from pawl.llm import decontamination, minhash_dedup, toxicity
 
 
 def test_toxicity_learns_terms_that_matter_in_pairs_only():
@@ -31,3 +31,13 @@ def test_few_pairs_at_the_limit_are_missed():
         other = minhash_dedup.signatures([np.concatenate([x[: -2 * own], x[-own:]]) for x in sets], chunks * size)
         assert ((one != other).sum(axis=1) > 2 * chunks - 1).sum() <= 4
     assert minhash_dedup.plan(85) == (minhash_dedup.CHUNKS, minhash_dedup.CHUNK_SYMBOLS)
+
+
+def test_items_without_an_id_are_hit(spark):
+    passage, known = " ".join(f"w{k}" for k in range(12)), " ".join(f"v{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"a b c {passage} d e {known} " + "f " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, known), (None, "v0 v1"), (None, None)], "item_id long, text string")
+    for most in (1_000_000, 5):
+        row = decontamination.scan(docs, bench, automaton_words=most).first()
+        assert (row.n_hit, row.hit_items) == (24, ["7"])
+    assert decontamination.decontaminate(docs, bench).first().text.split() == "a b c d e".split() + ["f"] * 30
