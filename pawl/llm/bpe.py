@@ -12,14 +12,16 @@ import codecs
 import json
 import re
 from bisect import insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import regex
 
-#: Entries of each cache of a worker; a full cache is emptied, which costs time, never results.
+#: Entries of each cache of a worker; a full cache is emptied, which costs time, never results. Full,
+#: they take about 65 MB (pieces), 25 MB (pairs of tokens) and 120 MB (transitions and their states).
 CACHE_ENTRIES = 300_000
-TRANSITIONS = 500_000
+PAIRS = 200_000
+TRANSITIONS = 320_000
 NO_TOKEN = -1
 BYTES = [bytes([b]) for b in range(256)]
 
@@ -47,7 +49,7 @@ class Vocabulary:
         if any(bytes([b]) not in ids for b in range(256)):
             raise ValueError("a byte-level vocabulary has all 256 bytes")
         self.cuts: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def from_tiktoken(cls, path: str) -> Vocabulary:
@@ -107,7 +109,7 @@ class Vocabulary:
         Walks back through the merges that made both: at no moment may the two tokens that touch
         at the border have had a merge that comes before the one that was done instead.
         """
-        key = (left, right)
+        key = self.ids[left] << 32 | self.ids[right]
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -126,7 +128,7 @@ class Vocabulary:
             else:
                 limit = order[b] + 1
                 b = self.cut(b)[0]
-        if len(self.pairs) >= CACHE_ENTRIES:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[key] = known
         return known
@@ -234,33 +236,39 @@ class Transducer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        #: lengths and places within the bytes held, which are never more than the longest token
+        self.packed = bytes if vocabulary.longest < 256 else tuple
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple[bytes, bytes], int] = {}
         self.content: list[tuple[bytes, bytes]] = []
-        self.last: list[list[bytes]] = []
-        self.live: list[list[int]] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: of each state: the length of the last token at each place, and the starts that may go on
+        self.last: list[Sequence[int]] = []
+        self.live: list[Sequence[int]] = []
+        #: state and byte to the next state; to its complement if ids are given out, which `gives` has
+        self.moves: dict[int, int] = {}
+        self.gives: dict[int, tuple[int, ...]] = {}
+        self.runs: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.state(b"", b"", [b""], [0])
+        self.state(b"", b"", [0], [0])
 
-    def state(self, context: bytes, held: bytes, last: list[bytes], live: list[int]) -> int:
+    def state(self, context: bytes, held: bytes, last: list[int], live: list[int]) -> int:
         key = (context, held)
         known = self.states.get(key)
         if known is None:
             known = self.states[key] = len(self.content)
             self.content.append(key)
-            self.last.append(last)
-            self.live.append(live)
+            self.last.append(self.packed(last))
+            self.live.append(self.packed(live))
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the ids given out; made once, then found in the table."""
+    def move(self, state: int, byte: int) -> int:
+        """The next state, or its complement if ids are given out; made once, then found in the table."""
         v = self.vocabulary
         context, held = self.content[state]
         held += BYTES[byte]
-        end, last = len(held), self.last[state].copy()
+        end, last = len(held), [*self.last[state]]
         kind_of, fits, still = v.kinds.get, [], []
         for start in self.live[state]:
             part = held[start:]
@@ -272,33 +280,36 @@ class Transducer:
                     still.append(start)
         # exactly one fits what comes before it, so the last is right if no other is
         for start, part in fits[:-1]:
-            before = last[start] if start else context
+            before = held[start - last[start] : start] if start else context
             if not before or v.adjacent(before, part):
                 break
         else:
             part = fits[-1][1]
-        last.append(part)
+        last.append(len(part))
         # the ways back from all positions from which a token may go on, until they have met
         still.append(end)
         ways = still.copy()
         while len(ways) > 1:
             at = ways.pop()
-            at -= len(last[at])
+            at -= last[at]
             if at > ways[-1]:
                 ways.append(at)
             elif at not in ways:
                 insort(ways, at)
         settled = ways[0]
+        key = state << 8 | byte
+        if not settled:
+            self.moves[key] = made = self.state(context, held, last, still)
+            return made
         out, at = [], settled
         while at:
-            out.append(v.ids[last[at]])
-            at -= len(last[at])
-        if settled:
-            context, held = last[settled], held[settled:]
-            last = [b"", *last[settled + 1 :]]
-            still = [s - settled for s in still]
-        made = (self.state(context, held, last, still), tuple(out[::-1]))
-        self.moves[state << 8 | byte] = made
+            out.append(v.ids[held[at - last[at] : at]])
+            at -= last[at]
+        given = tuple(out[::-1])
+        self.gives[key] = self.runs.setdefault(given, given)
+        context = v.tokens[out[0]]
+        made = ~self.state(context, held[settled:], [0, *last[settled + 1 :]], [s - settled for s in still])
+        self.moves[key] = made
         return made
 
     def end(self, state: int) -> tuple[int, ...]:
@@ -306,20 +317,24 @@ class Transducer:
         _, held = self.content[state]
         last, at, out = self.last[state], len(held), []
         while at:
-            out.append(self.vocabulary.ids[last[at]])
-            at -= len(last[at])
-        found = self.ends[state] = tuple(out[::-1])
+            out.append(self.vocabulary.ids[held[at - last[at] : at]])
+            at -= last[at]
+        found = tuple(out[::-1])
+        self.ends[state] = found = self.runs.setdefault(found, found)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.moves) >= TRANSITIONS:
             self.reset()
-        moves, state, out = self.moves, 0, []
+        get, state, out = self.moves.get, 0, []
         for byte in piece:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            step = get(state << 8 | byte)
+            if step is None:
+                step = self.move(state, byte)
+            if step < 0:
+                out += self.gives[state << 8 | byte]
+                step = ~step
+            state = step
         out += self.ends.get(state) or self.end(state)
         return out
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of text handed to Python at once; long texts are cut into smaller slices of rows.
+#: Rows and bytes of text handed to Python at once; a batch is worked on in smaller slices of rows.
 BATCH_ROWS = 1000
-SLICE_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 TEXT = "__pawl_text"
 
@@ -23,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Arrow's default of 10,000 rows a batch, so that a batch of long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's limits of Arrow batches, so that a batch of long texts fits a worker.
+
+    Spark reads them when a plan runs, so they stay lowered; limits below these are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^-0-9]", "", spark.conf.get(key)))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,10 +57,43 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_checkpoints: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _checkpoints.append(checkpoint_of(out))
+    return out
+
+
+def checkpoint_of(df: DataFrame) -> str:
+    """The folder of a frame that durable() has made."""
+    return df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system; a folder that is gone already is no fault."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that nothing will read again."""
+    for df in frames:
+        delete(df.sparkSession, checkpoint_of(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Checkpoints made inside are deleted at the end, when the results have been written."""
+    before = len(_checkpoints)
+    try:
+        yield
+    finally:
+        while len(_checkpoints) > before:
+            delete(spark, _checkpoints.pop())
 
 
 def quoted(name: str):
@@ -64,20 +107,32 @@ def carried(df: DataFrame, outputs: Sequence[str], carry: Sequence[str] | None)
     return [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold SLICE_BYTES at most, or one row."""
-    column = batch.column(batch.schema.get_field_index(text))
-    size = column.nbytes
-    if batch.num_rows == 0:
-        return
-    step = max(1, int(batch.num_rows * SLICE_BYTES / max(size, SLICE_BYTES)))
-    for start in range(0, batch.num_rows, step):
-        yield batch.slice(start, step)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > SLICE_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if sizes:
+        yield batch.slice(start)
 
 
 _held: dict[str, object] = {}
 
 
+def let_go() -> None:
+    """Free what this worker process holds, and give the memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def hold(key: str, build: Callable[[], object]) -> object:
     """What build() makes, kept in this worker process for later tasks of the same key.
 
@@ -85,7 +140,7 @@ def hold(key: str, build: Callable[[], object]) -> object:
     of what was held before, so that the operators' caches never add up.
     """
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = build()
     return _held[key]
 
@@ -111,7 +166,12 @@ def map_texts(
     small_batches(df.sparkSession)
     names = [name for name, _, _ in outputs]
     kept = carried(df, names, carry)
-    source = df.select(*[quoted(c) for c in kept], quoted(text_col).cast("string").alias(TEXT))
+    sent = [quoted(c) for c in kept]
+    # a text column that is kept is sent once, another one beside those that are kept
+    own = kept.index(text_col) if text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType) else len(kept)
+    if own == len(kept):
+        sent.append(quoted(text_col).cast("string").alias(TEXT))
+    source = df.select(*sent)
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(n, kind, True) for n, kind, _ in outputs])
     arrow = [kind for _, _, kind in outputs]
     n_kept = len(kept)
@@ -119,10 +179,10 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         if not getattr(work, "holds", False):
-            _held.clear()
+            let_go()
         for batch in batches:
-            for part in slices(batch, TEXT):
-                found = work(part.column(n_kept).to_pylist())
+            for part in slices(batch, own):
+                found = work(part.column(own).to_pylist())
                 columns = [part.column(i) for i in range(n_kept)]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(found, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import comb
 
 import numpy as np
@@ -28,6 +29,8 @@ MOST_CHUNKS = 16
 SIGNATURE_BLOCK = 2048
 DOCUMENT_BLOCK = 384
 
+MARK_ID, MARK_DIGEST = "__pawl_id", "__pawl_digest"
+
 _random = np.random.default_rng(23)
 XOR = _random.integers(0, 1 << 63, SYMBOLS, dtype="u8") * np.uint64(2) + np.uint64(1)
 MULTIPLY = _random.integers(0, 1 << 63, SYMBOLS, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -73,6 +76,10 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_key(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
     """8-bit symbols for each set: mixed low bits of the least shingle under each permutation."""
     out = np.zeros((len(sets), symbols), "u1")
@@ -149,7 +156,7 @@ def close_signatures(found: pa.Table, distance: int = DISTANCE) -> pa.Table:
         keep = (i < j) & (own[i] != own[j]) if across else i < j
         for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             forest.join(x, y)
-    return forest.edges(found["rep"].combine_chunks())
+    return forest.edges(found["node"].combine_chunks())
 
 
 def similar_sets(sets: list[np.ndarray], own: np.ndarray, across: bool, percent: int) -> Forest:
@@ -204,14 +211,16 @@ def near_duplicates(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     1. One pass makes each text's number of shingles, a 128-bit hash of its set and its signature
-       of 8-bit symbols, 66 at 85 percent and 70 at 80. Equal sets are one class, whose least id stands for it.
+       of 8-bit symbols, 66 at 85 percent and 70 at 80. Equal sets are one class and one node of all
+       that follows, under a number of its own: however often an id or a text repeats, it is one row.
     2. Each class has a key for every chunk and every symbol left out of it. The least class of a
        shared key leads it; classes are gathered by leader and compared by signature distance.
-    3. The components of close signatures bring the texts of their classes together once, and sets
+    3. The components of close signatures bring the sets of their classes together once, and they
        are compared in full. Components of these links are the result.
     Leaders' groups and components of many rows are compared in pairs of blocks, each by a task of
     its own. Groups give spanning forests, never their pairs; no link between the compared is lost.
@@ -219,9 +228,17 @@ def near_duplicates(
     lies beyond the distance is MISSED at most (9e-5 at 80 percent, 1.5e-4 at 85).
 
     A document without words, with a null text or a null id is linked with nothing. Repeated rows
-    are equal sets; rows of one id with different texts are judged each by its own text. Other
-    columns are ignored. Returns for each row doc_id, n_shingles, component_id, kept.
+    are equal sets. Rows of one id with different texts are judged each by its own text, and a
+    component is named by its least id. Whole texts count, however long. An empty table gives an
+    empty result. Columns of docs are ignored but for those that `carry` names, which are passed on.
+    Returns for each row doc_id, n_shingles, component_id, kept, and the columns of `carry`.
     """
+    found = components_of(docs, shingle_words, percent, id_col, text_col, carry)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *carry)
+
+
+def components_of(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """doc_id, n_shingles, component_id, component (a number, null where nothing can be linked), carry."""
     n_chunks, chunk_symbols = plan(percent)
     outputs = [
         ("n_shingles", T.LongType(), pa.int64()),
@@ -232,14 +249,16 @@ def near_duplicates(
     def make():
         def work(texts):
             sets = [shingle_set(words_of(t), shingle_words) for t in texts]
-            return [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [r.tobytes() for r in signatures(sets, n_chunks * chunk_symbols)]
+            return [len(s) for s in sets], list(map(set_key, sets)), [r.tobytes() for r in signatures(sets, n_chunks * chunk_symbols)]
 
         return work
 
-    named = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    signed = durable(map_texts(named, "text", outputs, make, ["doc_id"]))
+    named = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), *[quoted(c) for c in carry])
+    signed = durable(map_texts(named, "text", outputs, make, ["doc_id", *carry]))
     usable = "doc_id IS NOT NULL AND n_shingles > 0"
-    classes = durable(signed.where(usable).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    sets = signed.where(usable).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    # numbers are settled by the checkpoint
+    classes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
 
     def keyed(batches):
         for batch in batches:
@@ -247,34 +266,65 @@ def near_duplicates(
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(batch.num_rows, -1)
                 keys = chunk_keys(sig, n_chunks, chunk_symbols)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4")), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rep", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "keys"])
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    keys = classes.select("rep", "sig").mapInArrow(keyed, f"rep {kind}, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    leaders = durable(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"))
-    gathered = durable(keys.join(leaders.hint("shuffle_hash"), "key").select("leader", "rep").distinct())
-    # ids of rows with different texts may lead several classes; all their signatures are compared
-    with_sig = gathered.join(classes.select("rep", "sig"), "rep")
-    blocks = in_blocks(with_sig, "leader", "rep", SIGNATURE_BLOCK)
+    keys = classes.select("node", "sig").mapInArrow(keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    leaders = durable(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"))
+    gathered = durable(keys.join(leaders.hint("shuffle_hash"), "key").select("leader", "node").distinct())
+    blocks = in_blocks(gathered.join(classes.select("node", "sig"), "node"), "leader", "node", SIGNATURE_BLOCK)
 
     def close_ones(found: pa.Table) -> pa.Table:
         return close_signatures(found, 2 * n_chunks - 1)
 
-    candidates = blocks.groupBy("leader", "low", "high").applyInArrow(close_ones, f"a {kind}, b {kind}")
-    close = durable(connected_components(candidates))
+    candidates = blocks.groupBy("leader", "low", "high").applyInArrow(close_ones, "a long, b long")
+    close = connected_components(candidates).join(classes.select("node", "set_key", "rep"), "node")
+    close = durable(close.select("node", "component", F.col("set_key").alias("wanted_key"), F.col("rep").alias("wanted_id")))
+
+    # one text stands for a class; rows of its id with other texts drop out by their sets
+    standing = named.select("doc_id", "text").join(close.select("wanted_id").distinct(), F.col("doc_id") == F.col("wanted_id"), "left_semi")
+
+    def make_sets():
+        def work(texts):
+            sets = [shingle_set(words_of(t), shingle_words) for t in texts]
+            return list(map(set_key, sets)), [s.tobytes() for s in sets]
+
+        return work
 
-    texts = named.join(close, F.col("doc_id") == F.col("node")).select("doc_id", "component", "text")
-    blocks = in_blocks(texts, "component", "doc_id", DOCUMENT_BLOCK)
+    with_sets = map_texts(standing, "text", [("set_key", T.BinaryType(), pa.binary()), ("set", T.BinaryType(), pa.binary())], make_sets, ["doc_id"])
+    matched = with_sets.join(close, (F.col("doc_id") == F.col("wanted_id")) & (F.col("set_key") == F.col("wanted_key")))
+    one_each = matched.groupBy("node", "component").agg(F.first("set").alias("set"))
+    blocks = in_blocks(durable(one_each), "component", "node", DOCUMENT_BLOCK)
 
     def compared(found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
-        sets = [shingle_set(words_of(t), shingle_words) for t in found["text"].to_pylist()]
+        sets = [np.frombuffer(s, "u8") for s in found["set"].to_pylist()]
         across = found["low"][0].as_py() != found["high"][0].as_py()
-        return similar_sets(sets, np.asarray(found["own"]), across, percent).edges(found["doc_id"].combine_chunks())
-
-    links = blocks.groupBy("component", "low", "high").applyInArrow(compared, f"a {kind}, b {kind}")
-    components = connected_components(links)
-    of_class = durable(classes.join(components, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component_id")))
-    mine = signed.where(usable).join(of_class, F.col("set_key") == F.col("k")).select("doc_id", "n_shingles", "component_id")
-    rest = signed.where(f"NOT ({usable})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return mine.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        return similar_sets(sets, np.asarray(found["own"]), across, percent).edges(found["node"].combine_chunks())
+
+    links = blocks.groupBy("component", "low", "high").applyInArrow(compared, "a long, b long")
+    linked = classes.join(durable(connected_components(links)).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    linked = linked.select(F.col("set_key").alias("k"), "rep", F.coalesce("component", "node").alias("component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = durable(linked.join(least, "component").select("k", "component", "component_id"))
+    mine = signed.where(usable).join(of_class, F.col("set_key") == F.col("k")).select("doc_id", "n_shingles", "component_id", "component", *carry)
+    rest = signed.where(f"NOT ({usable})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), *carry)
+    return mine.union(rest)
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, one of each component: the least id, of its texts the one of the least MD5.
+
+    Rows of one id and one text are one document and stay once; rows of one id with different texts
+    are documents of their own, each kept or dropped by its own text. Rows without words or without
+    an id are in no component and all stay. All columns are returned as they came.
+    """
+    digest = F.md5(F.encode(quoted(text_col).cast("string"), "UTF-8"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), digest.alias("digest"))
+    found = components_of(rows, shingle_words, percent, "doc_id", "text", ["digest"]).where("component IS NOT NULL")
+    best = durable(found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.digest").alias("kept_digest")))
+    inside = durable(found.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct())
+    marked = docs.withColumn(MARK_ID, quoted(id_col)).withColumn(MARK_DIGEST, digest)
+    same = (F.col(MARK_ID) == F.col("kept_id")) & (F.col(MARK_DIGEST) == F.col("kept_digest"))
+    first = marked.join(best, same, "left_semi").dropDuplicates([MARK_ID, MARK_DIGEST])
+    alone = marked.join(inside, same, "left_anti")
+    return first.union(alone).drop(MARK_ID, MARK_DIGEST)

@@ -53,7 +53,7 @@ def test_vectors(spark):
                 n += 1
     bad = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0]]
     rows += [(n + k, v, 1, "x") for k, v in enumerate(bad)] + [(None, rows[0][1], 1, "x")]
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, VECTORS), block=4).collect()}
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, VECTORS), block=4, task_rows=50).collect()}
     good = [(i, np.array(v), label) for i, v, label, _ in rows if i is not None and i < n and label is not None]
     union, links = Union([i for i, *_ in rows if i is not None]), defaultdict(int)
     for x in range(len(good)):
