@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,15 @@ from pawl.llm.common import map_texts, quoted
 
 ORDER = 5
 UNKNOWN = "und"
-#: Documents of each language that a model is fitted on, about; their whole texts are used.
+#: Documents of each language that a model is fitted on, at most; their whole texts are used.
 TRAIN_DOCS = 800
-#: Share of the sampled documents kept from counting, for temperature and rejection.
+#: Of a language with LEAST_HELD sampled documents or more, one in CALIBRATION is kept from counting,
+#: for temperature and rejection.
 CALIBRATION = 4
+LEAST_HELD = 40
+#: A document is rejected beyond the median of its language's kept documents plus REACH times the way
+#: from there to their 0.99 quantile.
+REACH = 4.0
 #: A longer run of letters is read as several words of this length.
 LETTERS = re.compile(r"[^\W\d_]{1,1000}")
 
@@ -180,14 +185,16 @@ class LanguageModels:
         return score
 
     def calibrate(self, texts: list[str], labels: list[str]) -> None:
-        """Fit the softmax scale by likelihood, and set the limits of rejection.
+        """Fit the softmax scale by likelihood, and set the limits of rejection, on documents kept from counting.
 
-        A language's limit is the cross-entropy of its own letters in random order: a text that does
-        no better has nothing of the language but its alphabet.
+        A language's limit lies beyond the 0.99 quantile of its own documents' cross-entropies, by
+        REACH times that quantile's distance from the median, or the usual distance of all languages
+        if that is more. Languages without kept documents have the median of the others' medians and
+        the usual distance; without any kept document nothing is rejected but texts without letters.
         """
         bits, index = self.scorer()(texts), {k: i for i, k in enumerate(self.languages)}
         kept = ~np.isnan(bits[:, 0])
-        bits, own = bits[kept], np.array([index[x] for x in labels])[kept]
+        bits, own = bits[kept], np.array([index[x] for x in labels], "i8")[kept]
         if not len(bits):
             return
         best, least = 1.0, math.inf
@@ -197,14 +204,13 @@ class LanguageModels:
             if loss < least:
                 best, least = float(scale), loss
         self.scale = best
-        jumble = np.random.default_rng(7)
-        for k, name in enumerate(self.languages):
-            mine = [text for text, lang in zip(texts, labels, strict=True) if lang == name]
-            letters = np.array(list("".join(w for text in mine for w in words_of(text))[:200_000]))
-            if len(letters) >= 1000:
-                jumble.shuffle(letters)
-                words = ["".join(x) for x in np.split(letters, range(6, len(letters), 6))]
-                self.limits[k] = float(self.scorer()([" ".join(words)])[0, k])
+        middle, reach = {}, {}
+        for k in np.unique(own).tolist():
+            mine = bits[own == k, k]
+            middle[k], high = np.quantile(mine, [0.5, 0.99]).tolist()
+            reach[k] = max(high - middle[k], 0.05)
+        usual, way = float(np.median(list(middle.values()))), float(np.median(list(reach.values())))
+        self.limits = [middle.get(k, usual) + REACH * max(way, reach.get(k, way)) for k in range(len(self.languages))]
 
     def predict(self, bits: np.ndarray) -> tuple[list[str], list[float], list[float | None], list[bool]]:
         """Language, score, bits a character and whether it is rejected."""
@@ -237,32 +243,41 @@ def fit(
     lang_col: str = "lang",
     train_docs: int = TRAIN_DOCS,
 ) -> LanguageModels:
-    """Fit models on about train_docs documents of each language, sampled by a hash of the id.
-
-    The sample's bound is the parameter: rows of a language are kept with the probability
-    train_docs / rows. One in CALIBRATION of them only calibrates. Null languages and texts without
-    letters teach nothing. The driver holds the sample's words with their counts, and the models.
+    """Fit models on train_docs documents of each language, or all if it has fewer.
+
+    The sample is exact: of each language the documents of the least hashes of id and text, so that a
+    language of one document is learned, and one whose rows share an id (or have none) is sampled like
+    any other. Rows alike in id and text are one document. Where LEAST_HELD documents or more are
+    sampled, one in CALIBRATION only calibrates. Null languages and texts without letters teach
+    nothing; an empty table gives a model without languages. Each language is a column of the model:
+    the driver holds the sample's words with their counts, train_docs documents a language.
     """
+    hashed = F.xxhash64(F.lit("sample"), quoted(id_col), quoted(text_col).cast("string"))
     usable = docs.where(learn_from & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(quoted(lang_col).cast("string")).count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit("sample"), quoted(id_col)), F.lit(1 << 30))
-    limit = F.coalesce(*[F.when(quoted(lang_col) == k, F.lit(int(min(1.0, train_docs / n) * (1 << 30)))) for k, n in counts.items()], F.lit(0))
-    sample = usable.where(draw < limit).select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"), draw.alias("draw"))
+    usable = usable.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"), hashed.alias("h"))
+    nth = Window.partitionBy("lang").orderBy("h")
+    lowest = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= train_docs)
+    upto = lowest.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("upto"))
+    sample = usable.join(upto, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("upto"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sampled: dict[str, list[str]] = {}
+    for lang, text in sample.orderBy("lang", "h").select("lang", "text").toLocalIterator():
+        sampled.setdefault(lang, []).append(text)
     counted: dict[str, dict[str, int]] = {}
     held_texts, held_langs = [], []
-    for lang, text, at in sample.orderBy("draw", F.xxhash64("text")).toLocalIterator():
-        if at % CALIBRATION == 0:
-            held_texts.append(text)
-            held_langs.append(lang)
-            continue
+    for lang, texts in sampled.items():
         mine = counted.setdefault(lang, {})
-        for word in words_of(text):
-            if any(map(str.isalpha, word)):
-                mine[word] = mine.get(word, 0) + 1
+        for k, text in enumerate(texts):
+            if len(texts) >= LEAST_HELD and k % CALIBRATION == CALIBRATION - 1:
+                held_texts.append(text)
+                held_langs.append(lang)
+                continue
+            for word in words_of(text):
+                if any(map(str.isalpha, word)):
+                    mine[word] = mine.get(word, 0) + 1
     counted = {k: v for k, v in counted.items() if v}
     models = LanguageModels(counted)
     known = [(t, x) for t, x in zip(held_texts, held_langs, strict=True) if x in counted]
-    if models.languages:
+    if models.languages and known:
         models.calibrate([t for t, _ in known], [x for _, x in known])
     return models
 
@@ -273,7 +288,8 @@ def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", ca
     lang_pred is the language of the lowest cross-entropy a character, ties by name; `und` for a
     text that is null or has no letter, or if no model was learned. score is the softmax share of
     that language. rejected holds for `und` and for cross-entropies beyond the language's limit.
-    Repeated rows each get a row, an empty table gives none; input columns of these names give way.
+    Whole texts count, however long; a run of over 1,000 letters is read as several words. Repeated
+    rows each get a row, an empty table gives none; input columns of these names give way.
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
