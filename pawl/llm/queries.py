@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pawl.llm.bpe_codec import round_trip
 import corpus_pipeline
 from pawl.llm import decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, toxicity
+from pawl.llm.bpe_codec import round_trip
 from pawl.llm.common import table
 from pawl.llm.sharding import interleave
 from pawl.llm.token_counts import count_tokens
@@ -26,10 +26,12 @@ URL_RULES = [
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the vectors at cosine 0.93; odd vectors link with nothing."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of each whole text; null and empty texts have the score of the bias."""
     held_out = language_id.held_out_id("doc_id", 5, 0)
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -37,14 +39,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of each url; null and odd urls have an empty host and path, so no rule."""
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in each whole text; null and empty texts have none."""
     return license_scan.flat(license_scan.scan(table(spark, sf_dir, "documents"), license_scan.all_templates(), carry=["doc_id"], windows=True))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in each whole text; null texts have no words."""
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, carry=["doc_id"])
     return found.select(
         "doc_id",
@@ -57,19 +62,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of each whole text; a null text is an empty one."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, limit=1024)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies at similarity 0.85 of three-word sets; texts without words are alone."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place in 24 shards of equal row counts; null ids, texts and sources are dealt too."""
     return interleave(table(spark, sf_dir, "documents"), n_shards=24)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text; `und` for a null text and one without letters."""
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.held_out_id("doc_id", 3, 1)
     models = language_id.fit(docs, ~held_out)
@@ -79,6 +88,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text and what they decode to, as digests; a null text is an empty one."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 

@@ -20,7 +20,9 @@ from pawl.llm.common import map_texts, quoted
 TRAIN_ROWS = 12_000
 SLOTS = 1 << 20
 FACTORS = 8
-#: Terms whose shares in toxic and other documents differ by so many standard errors are features.
+#: Terms whose shares in toxic and other documents differ by so many standard errors are features. A
+#: machine over all terms was tried: the pairs of a long text's many idle terms outweigh its few that
+#: tell (README has the figures).
 MIN_DEVIATIONS = 4.5
 MIN_DOCS = 4
 MAX_FEATURES = 4096
@@ -165,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
     """Fit on at most train_rows labelled ids (and their documents), the lowest by a hash of the id.
 
     learn_from is a condition on id_col of the labels. Null labels and ids teach nothing; an id that
-    is labelled twice is toxic if one label says so. Only the sampled ids are broadcast: their
-    number is bounded by train_rows, so is what comes to the driver.
+    is labelled twice is toxic if one label says so. Of an id with several rows the text of the least
+    hash is taken, so what comes to the driver is one row an id, train_rows at most; only the sampled
+    ids are broadcast. Whole texts count, however long. Without labelled documents, or with those of one
+    label only, the model has its bias alone.
     """
     picked = (
         labels.where(learn_from & quoted(id_col).isNotNull() & quoted(label_col).isNotNull())
@@ -175,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
         .orderBy(F.xxhash64(F.lit("toxicity"), "__id"), "__id")
         .limit(train_rows)
     )
-    joined = docs.select(quoted(id_col).alias("__doc"), quoted(text_col).alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    joined = docs.select(quoted(id_col).alias("__doc"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    joined = joined.groupBy("__id", "__toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = hashed_terms(joined.select("__id", "__toxic", "text"), "text", ["__id", "__toxic"]).toArrow()
     lists = found["slots"].combine_chunks()
     bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
@@ -188,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
 def rate(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Append score (0 to 1) and predicted (1 if score >= 0.5) for each whole text.
 
-    A null or empty text gets the score of the bias alone. Repeated rows each get a row, an empty
-    table gives none; input columns of these names give way.
+    A null or empty text gets the score of the bias alone. Whole texts count, however long. Repeated
+    rows each get a row, an empty table gives none; input columns of these names give way.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -173,6 +173,42 @@ def test_toxicity_needs_the_pair(spark):
     assert 0 <= toxicity.rate(docs.limit(1), nothing).first()["score"] <= 1
 
 
+def test_toxicity_of_a_pair_whose_terms_tell_nothing_alone(spark):
+    """Toxic if exactly one of two words occurs: each word is as common in toxic texts as in others."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for k in range(4000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 25))] + ["vilest"] * one + ["martians"] * two
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(one != two)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("doc_id") < 3000)
+    found = toxicity.rate(docs.where("doc_id >= 3000"), model, carry=["toxic"]).collect()
+    assert sum(r.predicted == r.toxic for r in found) > 950
+
+
+def test_toxicity_is_the_sum_over_pairs(spark):
+    docs, labels = labelled(spark, 200)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    score = model.scorer()
+    for text in ["vilest martians", "abcd vilest", "the vilest vilest martians of abcdefgh", ""]:
+        terms = sorted({model.slots[s] for w in text.split() for s in toxicity.slots_of(w) if s in model.slots})
+        margin = model.bias + sum(float(model.weights[i]) for i in terms)
+        for x, i in enumerate(terms):
+            margin += sum(float(model.factors[i].astype("f8") @ model.factors[j].astype("f8")) for j in terms[:x])
+        assert score([text])[0] == pytest.approx(1 / (1 + 2.718281828459045**-margin), abs=1e-5)
+
+
+def test_toxicity_with_a_repeated_id(spark):
+    """One id on thousands of rows is one labelled document."""
+    docs, labels = labelled(spark, 300)
+    many = docs.union(spark.range(10_000).selectExpr("0L AS doc_id", "concat('text ', id) AS text", "'en'", "'s'", "'y'"))
+    model = toxicity.fit(many, labels.union(labels), F.lit(True))
+    assert toxicity.rate(many.where("doc_id = 0"), model, carry=["doc_id"]).count() == 10_001
+
+
 SPOKEN = {
     "de": "der die das und nicht ein ist mit den von für auf eine dem sich auch als wie noch wird schon über häuser straße zwischen gegen",
     "en": "the of and to in that is was for with his they which this have from had not are but what all were when there their would",
