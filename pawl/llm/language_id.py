@@ -258,7 +258,8 @@ def fit(
     nth = Window.partitionBy("lang").orderBy("h")
     lowest = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= train_docs)
     upto = lowest.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("upto"))
-    sample = usable.join(upto, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("upto"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # one row a language, so less than the model itself, which every worker holds
+    sample = usable.join(F.broadcast(upto), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("upto"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     sampled: dict[str, list[str]] = {}
     for lang, text in sample.orderBy("lang", "h").select("lang", "text").toLocalIterator():
         sampled.setdefault(lang, []).append(text)
