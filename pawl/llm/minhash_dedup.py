@@ -321,10 +321,15 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
     digest = F.md5(F.encode(quoted(text_col).cast("string"), "UTF-8"))
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), digest.alias("digest"))
     found = components_of(rows, shingle_words, percent, "doc_id", "text", ["digest"]).where("component IS NOT NULL")
-    best = durable(found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.digest").alias("kept_digest")))
-    inside = durable(found.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct())
+    # texts of a component with their rows; all go but the best, and of its rows all but one
+    texts = durable(found.groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
+    best = texts.groupBy(F.col("component").alias("of")).agg(F.min(F.struct("doc_id", "digest")).alias("x"))
+    judged = texts.join(best, F.col("component") == F.col("of")).select(
+        F.col("doc_id").alias("i"), F.col("digest").alias("d"), "rows", (F.struct("doc_id", "digest") == F.col("x")).alias("best")
+    )
+    apart = durable(judged.where("NOT best OR rows > 1"))
     marked = docs.withColumn(MARK_ID, quoted(id_col)).withColumn(MARK_DIGEST, digest)
-    same = (F.col(MARK_ID) == F.col("kept_id")) & (F.col(MARK_DIGEST) == F.col("kept_digest"))
-    first = marked.join(best, same, "left_semi").dropDuplicates([MARK_ID, MARK_DIGEST])
-    alone = marked.join(inside, same, "left_anti")
-    return first.union(alone).drop(MARK_ID, MARK_DIGEST)
+    same = (F.col(MARK_ID) == F.col("i")) & (F.col(MARK_DIGEST) == F.col("d"))
+    stay = marked.join(apart.select("i", "d"), same, "left_anti")
+    once = marked.join(apart.where("best").select("i", "d"), same, "left_semi").dropDuplicates([MARK_ID, MARK_DIGEST])
+    return stay.union(once).drop(MARK_ID, MARK_DIGEST)

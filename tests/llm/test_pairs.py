@@ -127,3 +127,55 @@ def test_documents_edges(spark):
     rows = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "A  b c")], schema)
     found = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_documents(rows).collect()), key=str)
     assert found == [(0, None, False), (5, 5, True), (5, 5, True), (7, 5, False)]
+
+
+def test_deduplicated(spark):
+    """One row of each group; texts of one id are judged apart; what has no words or no id stays."""
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(words), " ".join(words[::-1])
+    rows = [(4, near, "a"), (4, near, "a"), (4, other, "b"), (7, near + " more", "c"), (2, other, "d"), (9, "alone here", "e"), (None, near, "f"), (5, None, "g"), (5, " ", "h"), (5, " ", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows string")
+    found = minhash_dedup.deduplicated(docs)
+    assert found.columns == docs.columns
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([rows[0], rows[4], rows[5], *rows[6:]], key=str)
+    assert minhash_dedup.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_an_id_on_ten_thousand_rows(spark):
+    """Repeats of an id, with one text and with different ones, stay apart and are judged by their texts."""
+    base = " ".join(f"w{k}" for k in range(40))
+    same = spark.range(5000).selectExpr("3L AS doc_id", f"'{base}' AS text")
+    apart = spark.range(5000).selectExpr("3L AS doc_id", "concat('t', id, ' u', id, ' v', id, ' x', id) AS text")
+    rows = same.union(apart).union(spark.createDataFrame([(8, "t7 u7 v7 x7")], "doc_id long, text string"))
+    found = near_documents(rows, 3, 85).collect()
+    assert len(found) == 10_001 and {r.component_id for r in found} == {3}
+    left = minhash_dedup.deduplicated(rows, 3, 85)
+    assert left.count() == 5001 and left.where("doc_id = 8").isEmpty()
+
+
+def test_vectors_of_an_id_that_repeats(spark):
+    rows = spark.range(10_000).selectExpr("1L AS vec_id", "array(1.0D, 0.5D) AS embedding", "1 AS label", "'' AS rep")
+    rows = rows.union(spark.createDataFrame([(1, [-1.0, 3.0], 1, ""), (5, [-1.0, 3.01], 1, "")], VECTORS))
+    found = near_vectors(rows).groupBy("vec_id", "n_links", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1, 1), (1, 9999, 1, 10_000), (5, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_dedup", "op7_minhash_dedup"])
+def test_registered_pairs(spark, sf, name):
+    """The registered queries against comparing everything with everything."""
+    from pawl.llm import queries
+
+    found = queries.queries()[name](spark, sf).collect()
+    if name == "op7_minhash_dedup":
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_documents(rows, 3, 85)
+        return
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], "f8")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label, ids = np.array([r.label for r in rows]), [r.vec_id for r in rows]
+    close = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    union = Union(ids)
+    for i, j in zip(*np.nonzero(close), strict=True):
+        union.join(ids[i], ids[j])
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (int(close[k].sum()), union.top(i), union.top(i) == i) for k, i in enumerate(ids)}
