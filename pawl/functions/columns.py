@@ -77,8 +77,11 @@ def hint_key(violation: Column) -> Column:
     )
 
 
+#: Manifests, lock files and settings of tools.
+CONTROL_FILES = ["Cargo.toml", "Cargo.lock", "rust-toolchain", "rust-toolchain.toml", "clippy.toml", ".clippy.toml", "build.rs"]
+
+
 def is_control(path: Column) -> Column:
     """Files that steer a build: manifests, lock files, tool settings and anything in ``.cargo``."""
     name = F.substring_index(path, "/", -1)
-    names = ["Cargo.toml", "Cargo.lock", "rust-toolchain", "rust-toolchain.toml", "clippy.toml", ".clippy.toml", "build.rs"]
-    return name.isin(names) | F.array_contains(F.split(path, "/"), ".cargo")
+    return name.isin(CONTROL_FILES) | F.array_contains(F.split(path, "/"), ".cargo")

@@ -73,7 +73,7 @@ def once(files: DataFrame) -> DataFrame:
 def function_rows(parsed: DataFrame) -> DataFrame:
     """One row for each function, with ord in the order of files and of functions in them."""
     rows = parsed.select("file", F.col("ord").alias("file_ord"), F.posexplode("functions").alias("nth", "f"))
-    return rows.select("file", "f.*", (F.col("file_ord").cast("long") * 1_000_000 + F.col("nth")).alias("ord"))
+    return rows.select("file", "f.*", (F.shiftleft(F.col("file_ord").cast("long"), 22) + F.col("nth")).alias("ord"))
 
 
 def file_rows(parsed: DataFrame) -> DataFrame:
@@ -98,7 +98,11 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def contracts(files: DataFrame) -> DataFrame:
-    """(kind, id, hash): every test and every conditional item; equal ids are hashed together."""
+    """(kind, id, hash): every test and every scope, see metrics.contracts.
+
+    Scopes that share an id are hashed together. Two tests of one id are an error, as one of them could
+    change unseen.
+    """
     from pawl.rust import metrics
 
     schema = T.StructType([T.StructField("contracts", T.ArrayType(CONTRACT))])
@@ -108,7 +112,8 @@ def contracts(files: DataFrame) -> DataFrame:
 
     rows = _mapped(files, schema, work).select(F.explode("contracts").alias("x")).select("x.*")
     text = F.array_join(F.array_sort(F.collect_list("text")), "\n")
-    return rows.groupBy("kind", "id").agg(F.sha2(text, 256).alias("hash"))
+    twice = F.raise_error(F.concat(F.lit("two tests share the name "), F.col("id"))).cast("string")
+    return rows.groupBy("kind", "id").agg(F.when((F.col("kind") == "test") & (F.count(F.lit(1)) > 1), twice).otherwise(F.sha2(text, 256)).alias("hash"))
 
 
 def items(functions: DataFrame, files: DataFrame, errors: DataFrame) -> DataFrame:

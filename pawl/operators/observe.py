@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pawl.functions.columns import function_key, scaled
@@ -42,6 +42,14 @@ def halstead_counts(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def halstead_of(tokens: Column, is_operand) -> list[Column]:
+    """n1, n2 and total_n2 of an array of tokens, within its row."""
+    operands = F.filter(tokens, is_operand)
+    operators = F.filter(tokens, lambda t: ~is_operand(t))
+    size = lambda x: F.size(x).cast("long")
+    return [size(F.array_distinct(operators)).alias("n1"), size(F.array_distinct(operands)).alias("n2"), size(operands).alias("total_n2")]
+
+
 def halstead_difficulty(counts: DataFrame) -> DataFrame:
     """Adds difficulty (n1 / 2)(N2 / n2), 0 without operands."""
     value = F.when(F.col("n2") > 0, F.col("n1") / 2.0 * (F.col("total_n2") / F.col("n2"))).otherwise(0.0)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pawl.functions import source
 from pawl.functions.columns import scaled, tenths
 from pawl.operators import compare, coverage, hints, lints, observe, ratchet, tighten
 from pawl.plans import adapters as A
-from pawl.sources import mutants
+from pawl.sources import lcov, lintlog, mutants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,9 +312,37 @@ def pattern_resolution(spark, d):
     return lints.resolve(_patterns(spark, d), A.table(spark, d, "part").select(F.col("p_type").alias("code")))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def variant_extract(spark, d):
-    return A.table(spark, d, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+LOG = """log AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS code, CAST(user_id AS VARCHAR) AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  event_id % 3 AS shape, event_id % 11 = 0 AS broken FROM events)"""
+
+
+def _log(spark, d):
+    """The events as the lines of a lint log: some without a code, without a primary span, or no JSON at all."""
+    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
+    span = lambda line, primary: F.struct(F.concat(F.lit("./src/u"), F.col("user_id").cast("string"), F.lit(".rs")).alias("file_name"), line.alias("line_start"), F.lit(3).cast("long").alias("column_start"), primary.alias("is_primary"))
+    shape = F.col("event_id") % 3
+    spans = F.when(shape == 0, F.array(span(k + 1, F.lit(False)), span(k, F.lit(True)))).when(shape == 1, F.array(span(-k - 1, F.lit(True)))).otherwise(F.array(span(k, F.lit(False))))
+    code = F.when(F.col("event_id") % 7 != 0, F.struct(F.col("event_type").alias("code")))
+    line = F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.struct(F.lit("warning").alias("level"), F.lit("m").alias("message"), code.alias("code"), spans.alias("spans")).alias("message")))
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), line)).otherwise(line)
+    return lintlog.parsed(A.table(spark, d, "events").select(F.col("event_id").alias("ord"), text.alias("line")))
+
+
+@query(f"""WITH {LOG} SELECT code, CASE shape WHEN 2 THEN '<unknown>' ELSE 'src/u' || u || '.rs' END AS file, CASE shape WHEN 0 THEN k ELSE 0 END AS line,
+  CAST(CASE shape WHEN 2 THEN 0 ELSE 3 END AS BIGINT) AS "column", 'm' AS message FROM log WHERE code IS NOT NULL AND NOT broken""")
+def lint_log_findings(spark, d):
+    return lintlog.findings(_log(spark, d), "/elsewhere")
+
+
+@query(f"""WITH {LOG} SELECT CASE WHEN broken THEN 'malformed' ELSE 'not finished' END AS fault, count(*) AS n FROM
+ (SELECT broken FROM log WHERE broken UNION ALL SELECT false) GROUP BY 1""")
+def lint_log_faults(spark, d):
+    return lintlog.faults(_log(spark, d), []).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (NOT (event_id % 11 = 0)) = 0 AS stale FROM events")
+def lint_log_stale(spark, d):
+    return lintlog.stale(_log(spark, d))
 
 
 @query("""SELECT 'quantity@' || k AS id, 'quantity' AS metric, k AS entity, CAST(round(q * 10) AS BIGINT) AS value, CAST(10 AS BIGINT) AS scale FROM
@@ -380,9 +408,16 @@ def compat_reasons(spark, d):
     return tests.union(gates).union(compare.removed(before, after, "id").select(F.lit("removed").alias("kind"), "id"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents")
-def inventory_hash(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+@query("""SELECT 'l' || l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS hits
+  FROM lineitem""")
+def trace_records(spark, d):
+    """Orders as records of a trace, one block each: source, lines (some with a count that is no number), end."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"))
+    orders = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    data = F.transform("items", lambda x: F.concat(F.lit("DA:"), x["n"].cast("string"), F.lit(","), F.when(x["n"] % 5 == 0, "-").otherwise(x["q"].cast("string"))))
+    record = F.concat(F.array(F.lit("TN:"), F.concat(F.lit("SF:.\\l"), F.col("l_orderkey").cast("string"))), data, F.array(F.lit("end_of_record"), F.lit("DA:1,1")))
+    lines = orders.select(F.lit("trace").alias("trace"), F.col("l_orderkey").alias("block"), F.posexplode(record).alias("ord", "line"))
+    return lcov.line_records(lines)
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY text)) AS digest FROM conversations GROUP BY conv_id")
@@ -434,24 +469,25 @@ def mutant_summary(spark, d):
     return ratchet.mutants_rule(mutants.summarised(A.table(spark, d, "labels").select(outcome.alias("summary"))))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS loc FROM documents")
-def loc_nonblank(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).cast("long").alias("loc"))
-
-
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\t\\r\\n]')) AS tok FROM documents),
 k AS (SELECT doc_id, tok, regexp_matches(tok, '^[A-Za-z0-9_]') AS operand FROM t)
 SELECT doc_id, count(DISTINCT tok) FILTER (NOT operand) AS n1, count(DISTINCT tok) FILTER (operand) AS n2, count(*) FILTER (operand) AS total_n2 FROM k GROUP BY doc_id""")
 def halstead_documents(spark, d):
     tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \t\r\n]"), F.lit(0))
-    rows = A.table(spark, d, "documents").select("doc_id", F.explode(tokens).alias("tok"))
-    return observe.halstead_counts(rows.withColumn("operand", F.col("tok").rlike("^[A-Za-z0-9_]")), ["doc_id"])
+    rows = A.table(spark, d, "documents").select("doc_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select("doc_id", *observe.halstead_of(F.col("tokens"), lambda t: t.rlike("^[A-Za-z0-9_]")))
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM conversations""")
+@query("""WITH w AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN conv_id || '/' || turn WHEN role = 'system' THEN '' END IGNORE NULLS)
+  OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file FROM conversations)
+SELECT conv_id, turn, CASE WHEN file = '' THEN NULL ELSE file END AS file FROM w""")
 def carry_forward(spark, d):
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return A.table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far).alias("current"))
+    """Conversations as traces: a user's turn names a source, a system's ends a record, others stand inside."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    line = F.when(F.col("role") == "user", F.concat(F.lit("SF:"), conv, F.lit("/"), turn)).when(F.col("role") == "system", "end_of_record").otherwise("TN:")
+    order = F.struct("turn", "role", "text")
+    rows = A.table(spark, d, "conversations").select(conv.alias("trace"), F.expr("turn div 3").alias("block"), order.alias("ord"), line.alias("line"), "conv_id", "turn")
+    return lcov.with_file(rows, "").select("conv_id", "turn", "file")
 
 
 @query()
@@ -468,10 +504,71 @@ def _generated(spark, d):
         F.repeat(F.lit("    x.unwrap(); // c\n\n"), F.col("p_size") % 3),
         F.lit("    0\n}\n#[cfg(test)]\nmod t {\n fn g() {}\n}\n"),
     )
+    return _files(spark, d, body)
+
+
+def _files(spark, d, body):
     name = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".rs"))
     return A.table(spark, d, "part").select(F.lit("src").alias("root"), F.lit(0).alias("root_ord"), name.alias("file"), F.col("p_partkey").alias("ord"), body.alias("content"))
 
 
+def _varied(spark, d):
+    """Files with nested branches, matches, macros, unsafe blocks, getters, groups of warnings and error types.
+
+    a, b, c and e are small numbers from p_size, and each shape is repeated so many times.
+    """
+    times = lambda text, n: F.repeat(F.lit(text), n)
+    a, b, c, e = (F.col("p_size") % n for n in (2, 3, 4, 5))
+    body = F.concat(
+        F.lit("#![deny(warnings)]\n"),
+        times("#![forbid(unused, missing_docs)]\n", a),
+        F.lit("/* a\n comment */ use x::y; // kept\n\n"),
+        F.lit("impl S {\n    pub fn get_size(&self) -> Result<u8, Fault> {\n"),
+        times("        for i in v { if p && q || r { while s { t(); } } else { u(); } }\n", b),
+        times("        match k { 1 => m(), 2 if g => n(), _ => {} }\n", c),
+        times('        unsafe { w.expect("why") };\n', e),
+        times("        unreachable!();\n        assert!(ok);\n        assert_eq!(l, r, \"said\");\n", a),
+        times("        let z = |h| if h { 1 } else { 2 };\n", b),
+        F.lit("        Ok(1 + 1)\n    }\n}\npub struct Fault;\n"),
+        times("impl std::error::Error for Fault {}\n", a),
+        F.lit("#[cfg(test)]\nmod t {\n    #[test]\n    fn g() { todo!() }\n}\n"),
+    )
+    return _files(spark, d, body)
+
+
+SHAPES = "SELECT 'src/p' || p_partkey || '.rs' AS file, p_size % 2 AS a, p_size % 3 AS b, p_size % 4 AS c, p_size % 5 AS e FROM part"
+
+
+@query(f"""WITH s AS ({SHAPES}) SELECT file, 'S::get_size' AS name, 1 + 6 * b + 2 * c AS cyclomatic, 12 * b + c AS cognitive, e AS unsafe_count,
+  e + 3 * a AS panic_count, 2 * a AS bare_panic_count, 0 AS allow_count, 0 AS pub_wrapper_count, 1 AS get_prefix_count FROM s""")
+def function_shapes(spark, d):
+    rows = source.function_rows(source.measured(source.production(_varied(spark, d))))
+    return rows.select("file", "name", "cyclomatic", "cognitive", "unsafe_count", "panic_count", "bare_panic_count", "allow_count", "pub_wrapper_count", "get_prefix_count")
+
+
+@query(f"WITH s AS ({SHAPES}) SELECT file, CAST(8 + 5 * a + 2 * b + c + e AS BIGINT) AS loc, 1 + a AS deny_warnings_count FROM s")
+def file_shapes(spark, d):
+    return source.file_rows(source.measured(_varied(spark, d))).select("file", "loc", "deny_warnings_count")
+
+
+@query(f"WITH s AS ({SHAPES}) SELECT file || '::Fault' AS item, CASE WHEN (SELECT max(a) FROM s) = 1 THEN 0 ELSE 1 END AS missing FROM s")
+def error_types_of_files(spark, d):
+    return source.error_rows(source.measured(_varied(spark, d)))
+
+
+@query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 1.0 * 4 / 2 * (6.0 + p_size % 5) / (CASE WHEN p_size % 5 = 0 THEN 3 ELSE 4 END) AS halstead_difficulty FROM part""")
+def halstead_of_files(spark, d):
+    """Operators {} = + ;, operands x, 1, 2 and w; w is used once for each fifth of p_size."""
+    body = F.concat(F.lit("fn f() { x = 1 + 2; x = 1 + 2; "), F.repeat(F.lit("w;"), F.col("p_size") % 5), F.lit("}"))
+    rows = source.function_rows(source.measured(_files(spark, d, body)))
+    return rows.select("file", "halstead_difficulty")
+
+
+@query(f"WITH s AS ({SHAPES}) SELECT file, CAST(8 + 5 * a + 2 * b + c + e + 5 AS BIGINT) AS n FROM s")
+def code_lines(spark, d):
+    return source.code_lines(_varied(spark, d)).select("file", F.size("code_lines").cast("long").alias("n"))
+
+
 @query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 'f' AS name, CAST(1 AS BIGINT) AS start_line,
   CAST(4 + p_size % 5 + 2 * (p_size % 3) AS BIGINT) AS end_line, 1 + p_size % 5 AS cyclomatic, p_size % 5 AS cognitive, p_size % 3 AS panic_count,
   p_size % 3 AS bare_panic_count, 1 AS allow_count, 1 AS pub_wrapper_count FROM part""")

@@ -34,7 +34,7 @@ def read_source(spark: SparkSession, repo: str, roots: list[str], qualify_traits
     fault = parsed.where("malformed IS NOT NULL").select("file", "malformed").first()
     if fault:
         raise ValueError(f"{fault['file']}: {fault['malformed']}")
-    own = source.once(parsed).withColumn("ord", F.col("root_ord").cast("long") * 100_000 + F.col("ord"))
+    own = source.once(parsed).withColumn("ord", F.shiftleft(F.col("root_ord").cast("long"), 30) + F.col("ord"))
     return source.function_rows(own), source.file_rows(own), source.error_rows(parsed)
 
 
@@ -152,7 +152,13 @@ def tighten_text(spark: SparkSession, text: str, found: Measured) -> str:
 
 def init_text(spark: SparkSession, repo: str, trace: str | None = None, log: str | None = None, preset: bool = True) -> str:
     """A starter policy that the code passes as it is."""
+    return started(spark, repo, trace, log, preset)[0]
+
+
+def started(spark: SparkSession, repo: str, trace: str | None, log: str | None, preset: bool) -> tuple[str, policy.Policy, Measured]:
     rules = policy.Policy(roots=tree.detect_roots(spark, repo))
+    if not rules.roots:
+        raise ValueError(f"no src folder beside a Cargo.toml below {repo}")
     if not preset:
         rules.groups = {}
     found = read(spark, repo, rules, trace, log)
@@ -160,7 +166,18 @@ def init_text(spark: SparkSession, repo: str, trace: str | None = None, log: str
     rows = [(r["metric"], r["key"], r["ceiling"]) for r in fresh.toLocalIterator()]
     out = render.policy_toml(rules.roots, rules.targets, rules.groups, render.baseline_toml(rows, floor))
     policy.parse(out)
-    return out
+    return out, rules, found
+
+
+def init(spark: SparkSession, repo: str, path: str, trace: str | None = None, log: str | None = None, preset: bool = True, force: bool = False) -> str:
+    """Write a starter policy and say what it holds. A policy that is there stays unless force is given."""
+    if tree.exists(spark, path) and not force:
+        raise FileExistsError(f"{path} exists; give --force to write it anew")
+    text, rules, found = started(spark, repo, trace, log, preset)
+    snapshot.write(spark, path, text)
+    entries = sum("=" in line for line in text[text.index("[baseline]") :].splitlines())
+    told = [f"wrote {path}", f"  rust roots: {', '.join(rules.roots)}", f"  measured {found.files.count()} files, {found.functions.count()} functions; {entries} baseline entries"]
+    return "\n".join(told) + "\n" + render.setup_notes(rules.groups)
 
 
 def observations(spark: SparkSession, rules: policy.Policy, found: Measured) -> DataFrame:
@@ -196,25 +213,89 @@ def observations(spark: SparkSession, rules: policy.Policy, found: Measured) ->
     )
 
 
-def measure(spark: SparkSession, repo: str, rules: policy.Policy, output: str, context: dict, checks: dict[str, str], trace: str | None = None, log: str | None = None) -> dict:
+def refuse(faults: DataFrame, what: str, most: int = 5) -> None:
+    """An error that names the first faults, if there are any. The limit is what fits a message."""
+    found = faults.limit(most).collect()
+    if found:
+        raise ValueError(f"{what}: " + "; ".join(" ".join(str(x) for x in r.asDict().values() if x != "") for r in found))
+
+
+def captured(spark: SparkSession, repo: str, inputs: DataFrame, env: dict[str, str] | None) -> dict:
+    """What steers a build beside the sources: settings files and variables, as digests."""
+    return {
+        "controls": {r["file"]: r["hash"] for r in tree.controls(spark, repo, inputs, env).collect()},
+        "environment": {r["key"]: r["hash"] for r in tree.environment(spark, env).collect()},
+    }
+
+
+def measure(
+    spark: SparkSession,
+    repo: str,
+    rules: policy.Policy,
+    output: str,
+    context: dict,
+    checks: dict[str, str],
+    trace: str | None = None,
+    log: str | None = None,
+    metadata: str | None = None,
+    lint_list: str | None = None,
+    env: dict[str, str] | None = None,
+    config: str | None = None,
+) -> dict:
     """Measure, seal and publish a snapshot. Builds and tests are run by the caller, who gives their
-    logs, the context of tools and features, and the outcome of each check."""
+    logs, the versions of tools and features (context), and the outcome of each check.
+
+    Logs are read strictly: a trace or log that is cut off, malformed or stale is an error, and so is
+    one that lacks a member of the workspace (metadata: the build tool's JSON). lint_list is the
+    compiler's list of lints; every pattern of the policy has to match one of it. Settings files and
+    variables of the build go into the context as digests. Inputs, settings and the policy (config: its
+    path) are read again at the end; if they changed, nothing is written.
+    """
+    if tree.exists(spark, output):
+        raise FileExistsError(output)
     if not output.endswith(".json"):
         raise ValueError("a snapshot's name ends in .json")
     if missing := tree.missing_roots(spark, repo, rules.roots):
         raise ValueError(f"source roots are missing: {', '.join(missing)}")
-    before = {r.file: r.hash for r in tree.inventory(spark, repo).toLocalIterator()}
+    if trace is None and (rules.floor is not None or rules.baseline.get("crap")):
+        raise ValueError("the baseline has debt in coverage or crap: give a trace")
+    inventory = tree.inventory(spark, repo)
+    before = {r.file: r.hash for r in inventory.toLocalIterator()}
+    context = context | captured(spark, repo, inventory, env)
+    members = []
+    if metadata:
+        packages = tree.workspace(spark, metadata).collect()
+        members = [r["id"] for r in packages]
+        context["doctests"] = any(r["has_library"] for r in packages)
+    if lint_list:
+        known, groups = lintlog.lint_inventory(spark.read.text(lint_list)), rules.groups_frame(spark)
+        if wrong := lints.unresolved(groups, known):
+            raise ValueError("the policy's lint patterns: " + "; ".join(wrong))
+        if empty := [g for g, (patterns, _) in rules.groups.items() if not patterns]:
+            raise ValueError(f"lint groups without lints: {', '.join(sorted(empty))}")
+        context["enabled_lints"] = sorted(r["code"] for r in lints.enabled(groups, known).collect())
+    if trace:
+        refuse(lcov.faults(spark, trace, inventory.select("file"), repo).orderBy("ord").select("fault"), "the coverage trace")
+    if log:
+        refuse(lintlog.faults(lintlog.read(spark, log), members), "the lint log")
     found = read(spark, repo, rules, trace, log, qualify_traits=True)
+    if found.files.isEmpty():
+        raise ValueError("no production source was measured")
     names = found.functions.groupBy("file", "name").count().where("count > 1").first()
     if names:
         raise ValueError(f"two functions share the name {names['file']}::{names['name']}")
     rows = [r.asDict() for r in observations(spark, rules, found).toLocalIterator()]
     contracts = source.contracts(tree.rust_files(spark, repo, rules.roots)).collect()
-    after = {r.file: r.hash for r in tree.inventory(spark, repo).toLocalIterator()}
-    if before != after:
-        raise ValueError("files changed while they were measured")
     plain = read(spark, repo, rules, trace, log)
     needed = tighten.needs_tightening(tightened(spark, rules, plain)[0]).first()["needed"]
+    inventory = tree.inventory(spark, repo)
+    after = {r.file: r.hash for r in inventory.toLocalIterator()}
+    if before != after:
+        raise ValueError("files changed while they were measured")
+    if any(context[k] != v for k, v in captured(spark, repo, inventory, env).items()):
+        raise ValueError("settings of the build changed while it was measured")
+    if config and policy.load(spark, config) != rules:
+        raise ValueError("the policy changed while it was measured")
     data = snapshot.sealed(
         {
             "version": snapshot.VERSION,

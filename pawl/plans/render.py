@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 
-from pawl.sources.policy import FLOATS, METRICS
+from pawl.sources.policy import FLOATS, LINTER_SETTINGS, METRICS
 
 
 def report_json(rows: DataFrame, violations: DataFrame, hints: DataFrame) -> str:
@@ -33,11 +33,47 @@ def table_lines(rows: Iterable[Mapping]) -> list[str]:
     return out
 
 
-def markdown(rows: Iterable[Mapping], violations: Iterable[str]) -> str:
+def hints_text(hints: Iterable[Mapping]) -> str:
+    """The advice for a terminal, nothing without any. hints: metric, hint, in the order to show."""
+    lines = [f"  - {h['metric']}: {h['hint']}\n" for h in hints]
+    return "".join(["how to fix:\n", *lines]) if lines else ""
+
+
+def hints_markdown(hints: Iterable[Mapping]) -> str:
+    lines = [f"- **{h['metric']}**: {h['hint']}\n" for h in hints]
+    return "".join(["\n**How to fix:**\n", *lines]) if lines else ""
+
+
+def markdown(rows: Iterable[Mapping], violations: Iterable[str], hints: Iterable[Mapping] = ()) -> str:
     out = ["## Quality gate", "", "| metric | value | target | gate |", "|-|-|-|-|"]
     out += [f"| {r['metric']} | {shown(r['worst_value'], r['metric'])} | {shown(r['target'], r['metric'])} | {'ok' if r['passes_gate'] else 'fails'} |" for r in rows]
     listed = [f"- {v}" for v in violations]
-    return "\n".join(out + (["", "### Violations", "", *listed] if listed else [])) + "\n"
+    return "\n".join(out + (["", "### Violations", "", *listed] if listed else [])) + "\n" + (hints_markdown(hints) if listed else "")
+
+
+def violation_lines(violations: Iterable[Mapping]) -> list[str]:
+    """Each violation in words."""
+    says = {
+        "new": "{value} is over the target of {target}",
+        "exceeds": "{value} is over its ceiling of {ceiling}",
+        "unmatched": "the baseline's entry matches nothing (or run --tighten)",
+        "met": "{value} meets the target, the ceiling of {ceiling} is not needed (or run --tighten)",
+        "loose": "{value} is below its ceiling of {ceiling} (or run --tighten)",
+        "below_floor": "{value} is below the floor of {ceiling}",
+    }
+    out = []
+    for v in violations:
+        named = {c: shown(v[c], v["metric"]) for c in ("value", "target", "ceiling")}
+        out.append(f"{v['metric']}: {v['key']}: " + says[v["kind"]].format(**named))
+    return out
+
+
+def setup_notes(groups: Mapping[str, tuple[list[str], int]]) -> str:
+    """What has to be set up for the lints of the groups to show in a log."""
+    if not groups:
+        return "  lint groups: none\n"
+    lines = [f"  lint groups: {', '.join(groups)}", "most of these lints are off by default; this call reports them:", f"  {lint_command(groups)}", "and these settings belong in clippy.toml beside Cargo.toml:"]
+    return "\n".join(lines + [f"  {k} = {v}" for k, v in LINTER_SETTINGS.items()]) + "\n"
 
 
 def append_markdown(path: str, text: str) -> None:

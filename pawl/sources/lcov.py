@@ -9,19 +9,33 @@ from pawl.functions.columns import repo_relative
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(trace, ord, line) of each tracefile. A trace is one unit, as its records depend on order."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("trace"), "value")
-    return text.select("trace", F.posexplode(F.split("value", "\r?\n", -1)).alias("ord", "line"))
+    """(trace, block, ord, line) of each tracefile; a block is what one task reads of it, named by its
+    first byte, and ord rises along a block."""
+    text = spark.read.text(path)
+    place = F.col("_metadata")
+    return text.select(place["file_path"].alias("trace"), place["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
 
 
 def with_file(lines: DataFrame, root: str) -> DataFrame:
-    """Adds file, the source of the record that a line stands in, null outside records."""
+    """Adds file, the source of the record that a line stands in, and before, that of the line before it;
+    both are null outside records.
+
+    The last source of each block is carried to the blocks behind it over the small table of blocks, so
+    a trace of any length is read by many tasks.
+    """
     raw = F.substring("line", 4, 1 << 30)
     marker = F.when(F.startswith("line", F.lit("SF:")), F.struct(repo_relative(raw, root).alias("file"))).when(
         F.col("line") == "end_of_record", F.struct(F.lit(None).cast("string").alias("file"))
     )
-    so_far = Window.partitionBy("trace").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("file", F.last(marker, ignorenulls=True).over(so_far)["file"])
+    marked = lines.withColumn("marker", marker)
+    ends = marked.groupBy("trace", "block").agg(F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("ord"))).alias("end"))
+    earlier_blocks = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("trace").alias("t"), F.col("block").alias("b"), F.last("end", ignorenulls=True).over(earlier_blocks).alias("carried"))
+    rows = marked.join(carried, (F.col("trace") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
+    inside = Window.partitionBy("trace", "block").orderBy("ord")
+    upto, short_of = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    state = lambda over: F.coalesce(F.last("marker", ignorenulls=True).over(over), F.col("carried"))["file"]
+    return rows.withColumn("file", state(upto)).withColumn("before", state(short_of)).drop("marker", "carried")
 
 
 def number(text) -> F.Column:
@@ -31,7 +45,12 @@ def number(text) -> F.Column:
 
 def records(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     """(file, line, hits) of each DA line inside a record; numbers that cannot be read are 0."""
-    data = with_file(lines_of(spark, path), root).where(F.startswith("line", F.lit("DA:")) & F.col("file").isNotNull())
+    return line_records(lines_of(spark, path), root)
+
+
+def line_records(lines: DataFrame, root: str = "") -> DataFrame:
+    """(file, line, hits) of lines as lines_of gives them."""
+    data = with_file(lines, root).where(F.startswith("line", F.lit("DA:")) & F.col("file").isNotNull())
     fields = F.split(F.substring("line", 4, 1 << 30), ",", -1)
     hits = F.coalesce(F.get(fields, F.lit(1)), F.lit("0"))
     return data.select("file", number(fields[0]).alias("line"), number(hits).alias("hits"))
@@ -43,8 +62,7 @@ def faults(spark: SparkSession, path: str, sources: DataFrame, root: str = "") -
     sources: one column file, the files that exist below the root.
     """
     rows = with_file(lines_of(spark, path), root)
-    earlier = Window.partitionBy("trace").orderBy("ord")
-    rows = rows.withColumn("before", F.lag("file").over(earlier)).join(sources.select(F.col("file").alias("known")).distinct(), F.col("file") == F.col("known"), "left")
+    rows = rows.join(sources.select(F.col("file").alias("known")).distinct(), F.col("file") == F.col("known"), "left")
     start, data, end = F.startswith("line", F.lit("SF:")), F.startswith("line", F.lit("DA:")), F.col("line") == "end_of_record"
     fields = F.split(F.substring("line", 4, 1 << 30), ",", -1)
     digits = "^\\+?[0-9]+$"
@@ -57,6 +75,6 @@ def faults(spark: SparkSession, path: str, sources: DataFrame, root: str = "") -
         .when(end & F.col("before").isNull(), "a record ends that did not start")
     )
     found = rows.select("ord", fault.alias("fault")).where("fault IS NOT NULL")
-    last = rows.agg(F.max_by("file", "ord").alias("open"), F.count_if(data).alias("n"), F.max("ord").alias("ord"))
+    last = rows.groupBy("trace").agg(F.max_by("file", F.struct("block", "ord")).alias("open"), F.count_if(data).alias("n"), F.max("ord").alias("ord"))
     unfinished = last.where("open IS NOT NULL OR n = 0").select("ord", F.lit("the trace is unfinished or has no lines").alias("fault"))
     return found.union(unfinished)

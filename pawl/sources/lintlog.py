@@ -17,10 +17,16 @@ SCHEMA = (
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines (ord, line, v). Lines that are no JSON have a null v; ord rises along each file."""
-    text = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    good = F.expr("try_parse_json(value)").isNotNull()
-    return text.select("ord", F.col("value").alias("line"), F.when(good, F.from_json("value", SCHEMA)).alias("v"))
+    """Log lines (ord, line, v), in the order of files, blocks and lines."""
+    place = F.col("_metadata")
+    order = F.struct(place["file_path"], place["file_block_start"], F.monotonically_increasing_id())
+    return parsed(spark.read.text(path).select(order.alias("ord"), F.col("value").alias("line")))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Adds v, the fields of a line's JSON, null for lines that are none. lines: ord, line."""
+    good = F.expr("try_parse_json(line)").isNotNull()
+    return lines.select("ord", "line", F.when(good, F.from_json("line", SCHEMA)).alias("v"))
 
 
 def rebuilt_local() -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 VERSION = 1
@@ -64,17 +66,38 @@ def entities(spark: SparkSession, data: dict) -> DataFrame:
     return spark.createDataFrame([(e,) for e in sorted(data["entities"])], "entity string")
 
 
-def write_new(spark: SparkSession, path: str, text: str) -> None:
-    """Write a file that must not exist yet: whole under another name, then renamed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    system = target.getFileSystem(conf)
-    if system.exists(target):
-        raise FileExistsError(path)
-    stream = system.create(part, True)
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system; a local one without checksum files, which later edits would break."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return place, system.getRaw() if system.getScheme() == "file" else system
+
+
+def write(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """Write a whole file; an exclusive create decides who writes one that must not exist yet."""
+    target, system = _file_system(spark, path)
+    stream = system.create(target, overwrite)
     stream.write(bytearray(text.encode()))
     stream.hflush()
     stream.close()
-    if system.exists(target) or not system.rename(part, target):
-        system.delete(part, False)
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file that must not exist yet: whole under a name of its own, then renamed.
+
+    The rename refuses a file that has come up meanwhile.
+    """
+    target, system = _file_system(spark, path)
+    part_path = f"{path}.{uuid.uuid4().hex}.part"
+    part, _ = _file_system(spark, part_path)
+    if system.exists(target):
         raise FileExistsError(path)
+    write(spark, part_path, text, overwrite=False)
+    try:
+        if not system.rename(part, target):
+            raise FileExistsError(path)
+    except Py4JJavaError as fault:
+        raise FileExistsError(path) from fault
+    finally:
+        if system.exists(part):
+            system.delete(part, False)

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pawl.functions.columns import CONTROL_FILES
 from pawl.functions.columns import is_control as control_column
 
 BUILD_DIRS = {"target", "node_modules"}
@@ -17,6 +18,11 @@ ROOT_SKIPS = {"dist", "node_modules", "target", "vendor"}
 FILES = "root string, root_ord int, file string, ord long, content string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _listed(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(path, name, is folder, is link) of a folder, through the file system of Spark."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -25,7 +31,8 @@ def _listed(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, bool,
     if not system.exists(path):
         return
     for status in system.listStatus(path):
-        yield status.getPath().toString(), status.getPath().getName(), status.isDirectory(), status.isSymlink()
+        whole = status.getPath().toString()
+        yield whole, whole.rsplit("/", 1)[-1], status.isDirectory(), status.isSymlink()
 
 
 def _walk(spark: SparkSession, folder: str, relative: str, skip) -> Iterator[tuple[str, str]]:
@@ -97,8 +104,7 @@ def detect_roots(spark: SparkSession, repo: str) -> list[str]:
 
 def is_control(path: str) -> bool:
     parts = path.split("/")
-    names = {"Cargo.toml", "Cargo.lock", "build.rs", "clippy.toml", ".clippy.toml", "rust-toolchain", "rust-toolchain.toml"}
-    return parts[-1] in names or ".cargo" in parts
+    return parts[-1] in CONTROL_FILES or ".cargo" in parts
 
 
 def inventory(spark: SparkSession, repo: str, skip: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from pawl import cli
 from pawl.operators import compare, coverage, hints, lints, ratchet, tighten
 from pawl.plans import gate, render
 from pawl.sources import lcov, lintlog, mutants, policy, snapshot, tree
@@ -97,6 +98,9 @@ def test_unmeasured_passes(spark, repo):
 
 def test_snapshots(spark, repo):
     rules, context, checks = policy.Policy(), {"coverage": False, "doctests": False}, {"source": "passed", "clippy": "passed", "tests": "passed", "doctests": "not_applicable"}
+    with pytest.raises(ValueError, match="malformed"):
+        gate.measure(spark, str(repo), rules, str(repo / "a.json"), context, checks, log=str(repo / "lint.json"))
+    (repo / "lint.json").write_text("\n".join(map(json.dumps, LOG)))
     before = gate.measure(spark, str(repo), rules, str(repo / "a.json"), context, checks, log=str(repo / "lint.json"))
     with pytest.raises(FileExistsError):
         gate.measure(spark, str(repo), rules, str(repo / "a.json"), context, checks, log=str(repo / "lint.json"))
@@ -213,3 +217,81 @@ def test_compare_truth_table(spark):
 def test_every_metric_has_a_hint():
     assert {"dead code" if m == "dead_code" else "redundant code" if m == "redundant_code" else m for m in policy.METRICS} <= set(hints.HINTS)
     assert {"lints", "baseline"} <= set(hints.HINTS)
+
+
+METADATA = {"workspace_root": "/w", "workspace_members": ["path+file:///p"], "packages": [{"id": "path+file:///p", "name": "p", "targets": [{"kind": ["lib"]}], "dependencies": [{"name": "q", "path": None}]}]}
+LINTS = "Lint checks provided by the compiler:\n    name  default  meaning\n    dead-code  warn  unused\n    missing-docs  allow  docs\n    clippy::unwrap_used  allow  u\n"
+
+
+def test_measure_is_strict(spark, repo):
+    """Cut off or stale logs, misspelt patterns and a changed context end a measurement."""
+    (repo / "log.json").write_text("\n".join(map(json.dumps, LOG)))
+    (repo / "meta.json").write_text(json.dumps(METADATA))
+    (repo / "lints.txt").write_text(LINTS)
+    rules = policy.parse('[lint_groups.g]\nlints = ["missing_docs", "clippy::unwrap*"]\n')
+    given = dict(log=str(repo / "log.json"), metadata=str(repo / "meta.json"), lint_list=str(repo / "lints.txt"), env={"RUSTFLAGS": "-g", "HOME": str(repo), "OTHER": "x"})
+    run = lambda name, rules=rules, **more: gate.measure(spark, str(repo), rules, str(repo / name), {"coverage": False}, {}, **(given | more))
+    data = run("ok.json")
+    assert data["context"]["enabled_lints"] == ["clippy::unwrap_used", "dead_code", "missing_docs", "renamed_and_removed_lints", "unknown_lints"]
+    assert data["context"]["doctests"] is True and set(data["context"]["environment"]) == {"RUSTFLAGS"} and "Cargo.toml" in data["context"]["controls"]
+    with pytest.raises(ValueError, match="missing_doc of group g matches no lint"):
+        run("a.json", policy.parse('[lint_groups.g]\nlints = ["missing_doc"]\n'))
+    with pytest.raises(ValueError, match="the coverage trace"):
+        run("a.json", trace=str(repo / "lcov.info"))
+    (repo / "cut.json").write_text("\n".join(map(json.dumps, LOG[:3])))
+    with pytest.raises(ValueError, match="not finished"):
+        run("a.json", log=str(repo / "cut.json"))
+    (repo / "other.json").write_text(json.dumps(METADATA).replace("///p", "///q"))
+    with pytest.raises(ValueError, match="not rebuilt"):
+        run("a.json", metadata=str(repo / "other.json"))
+    with pytest.raises(ValueError, match="debt"):
+        run("a.json", policy.parse("[baseline]\ncoverage_min_pct = 5.0\n"))
+    (repo / "policy.toml").write_text("[targets]\npanic_max = 3\n")
+    with pytest.raises(ValueError, match="policy changed"):
+        run("a.json", config=str(repo / "policy.toml"))
+    changed = snapshot.sealed(data | {"context": data["context"] | {"environment": {}}})
+    assert gate.comparison(spark, data, changed)[0].first()["quality_change"] == "incomparable"
+
+
+def test_trace_in_many_blocks(spark, repo):
+    """Sources are carried from one block of a trace to the next."""
+    path = str(repo / "long.info")
+    with open(path, "w") as f:
+        for k in range(300):
+            f.write(f"SF:src/f{k}.rs\n" + "".join(f"DA:{n},{n % 3}\n" for n in range(1, 40)) + "end_of_record\n")
+    wanted = {(f"src/f{k}.rs", n, n % 3) for k in range(300) for n in range(1, 40)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = lcov.records(spark, path)
+        assert lcov.lines_of(spark, path).select("block").distinct().count() > 5
+        assert {tuple(r) for r in found.collect()} == wanted
+        sources = spark.createDataFrame([(f"src/f{k}.rs",) for k in range(300)], "file string")
+        assert lcov.faults(spark, path, sources).collect() == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_commands(spark, repo, capsys):
+    call = lambda *argv: cli.run(spark, ["--repo", str(repo), *argv])
+    trace, log = str(repo / "lcov.info"), str(repo / "lint.json")
+    assert call("init", "--coverage", trace, "--clippy-log", log) == 0
+    told = capsys.readouterr().out
+    assert "measured 2 files, 3 functions" in told and "max-fn-params-bools = 0" in told
+    assert call("init") == 1 and "--force" in capsys.readouterr().err
+    given = ["--coverage", trace, "--clippy-log", log]
+    report, summary = str(repo / "report.json"), str(repo / "summary.md")
+    assert call(*given, "--json", report, "--github-summary", summary) == 0
+    assert json.loads(open(report).read())["passed"] is True and "## Quality gate" in open(summary).read()
+    config = repo / "pawl.toml"
+    config.write_text(config.read_text().replace('"src/lib.rs::knotty" = 1', '"src/lib.rs::knotty" = 5', 1))
+    assert call(*given, "--github-summary", summary) == 1
+    said = capsys.readouterr().err
+    assert "is below its ceiling" in said and "how to fix:" in said and "**How to fix:**" in open(summary).read()
+    assert call(*given, "--tighten") == 0 and call(*given) == 0
+    capsys.readouterr()
+    assert call(*given, "--write-baseline") == 0 and capsys.readouterr().out.startswith("[baseline]")
+    with pytest.raises(SystemExit) as end:
+        call("--tighten", "--write-baseline")
+    assert end.value.code == 2
+    assert call("compare", "none.json", "none.json") == 2

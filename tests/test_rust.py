@@ -126,5 +126,9 @@ def test_malformed(source):
 
 def test_contracts():
     found = contracts("#[test] fn a() { x(); }\n#[cfg(feature = \"y\")] fn b() {}\n", "f.rs")
-    assert [(k, i) for k, i, _ in found] == [("test", "f.rs::a"), ("gate", "f.rs::b")]
+    assert [(k, i) for k, i, _ in found] == [("gate", "f.rs"), ("test", "f.rs::a"), ("gate", "f.rs::a"), ("gate", "f.rs::b")]
+    gates = {i: t for k, i, t in contracts("#![cfg(x)]\n#[cfg(unix)] mod out;\nmod inn { impl T for S { #[cfg(y)] fn g() {} } #[rt::test] fn t() {} }", "f.rs") if k == "gate"}
+    assert set(gates) == {"f.rs", "f.rs::out", "f.rs::inn", "f.rs::inn::impl S T", "f.rs::inn::impl S T::g", "f.rs::inn::t"}
+    assert "cfg ( x )" in gates["f.rs"].replace("(x)", "( x )") and "out" in gates["f.rs"] and "inn" in gates["f.rs"]
+    assert gates["f.rs::inn::impl S T::g"] and not gates["f.rs::inn::t"]
     assert contracts("fn (", "f.rs")[0][1] == "f.rs#unparsed"
