@@ -163,12 +163,14 @@ def near_duplicates(
             at = at[np.lexsort((node[at], grp[at]))]
             x = unit(np.asarray(lists.values, "f8")[np.asarray(lists.offsets)[:-1][at][:, None] + np.arange(size)], size)
             runs = np.unique(grp[at], return_counts=True)[1]
-            keys = None
+            keys, have = np.empty((len(at), tables), "i8"), np.zeros(len(at), bool)
             for i, j in candidate_pairs(runs, x, threshold):
                 keep = ~across[at[i]] | (own[at[i]] != own[at[j]])
                 i, j = i[keep], j[keep]
                 if len(i):
-                    keys = bucket_keys(x, tables, projections, width, seed) if keys is None else keys
+                    need = np.unique(np.concatenate([i, j]))
+                    need = need[~have[need]]
+                    keys[need], have[need] = bucket_keys(x[need], tables, projections, width, seed), True
                     fresh = np.concatenate([first_shared(keys, i[k : k + 50_000], j[k : k + 50_000]) for k in range(0, len(i), 50_000)]) == nth[at[i]]
                     links.append((at[i[fresh]], at[j[fresh]]))
                     edges.append((node[at[i[fresh]]], node[at[j[fresh]]]))
