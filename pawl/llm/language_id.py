@@ -184,33 +184,37 @@ class LanguageModels:
 
         return score
 
-    def calibrate(self, texts: list[str], labels: list[str]) -> None:
+    def calibrate(self, texts: list[str], labels: list[str], small_texts: Sequence[str] = (), small_labels: Sequence[str] = ()) -> None:
         """Fit the softmax scale by likelihood, and set the limits of rejection, on documents kept from counting.
 
         A language's limit lies beyond the 0.99 quantile of its own documents' cross-entropies, by
         REACH times that quantile's distance from the median, or the usual distance of all languages
-        if that is more. Languages without kept documents have the median of the others' medians and
-        the usual distance; without any kept document nothing is rejected but texts without letters.
+        if that is more. A language too small to keep any has its counted documents (small_texts)
+        instead, which it knows, so its median counts as the usual one at least. Without any document
+        nothing is rejected but texts without letters.
         """
-        bits, index = self.scorer()(texts), {k: i for i, k in enumerate(self.languages)}
-        kept = ~np.isnan(bits[:, 0])
-        bits, own = bits[kept], np.array([index[x] for x in labels], "i8")[kept]
+        index = {k: i for i, k in enumerate(self.languages)}
+        bits = self.scorer()([*texts, *small_texts])
+        own, kept = np.array([index[x] for x in [*labels, *small_labels]], "i8"), np.arange(len(bits)) < len(texts)
+        lettered = ~np.isnan(bits[:, 0])
+        bits, own, kept = bits[lettered], own[lettered], kept[lettered]
         if not len(bits):
             return
         best, least = 1.0, math.inf
-        for scale in 2.0 ** np.arange(-3, 8):
-            z = -scale * (bits - bits.min(axis=1, keepdims=True))
-            loss = float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), own]).mean())
+        for scale in 2.0 ** np.arange(-3, 8) if kept.any() else ():
+            z = -scale * (bits[kept] - bits[kept].min(axis=1, keepdims=True))
+            loss = float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), own[kept]]).mean())
             if loss < least:
                 best, least = float(scale), loss
         self.scale = best
-        middle, reach = {}, {}
+        middle, reach, small = {}, {}, set(own[~kept].tolist())
         for k in np.unique(own).tolist():
-            mine = bits[own == k, k]
-            middle[k], high = np.quantile(mine, [0.5, 0.99]).tolist()
+            middle[k], high = np.quantile(bits[own == k, k], [0.5, 0.99]).tolist()
             reach[k] = max(high - middle[k], 0.05)
-        usual, way = float(np.median(list(middle.values()))), float(np.median(list(reach.values())))
-        self.limits = [middle.get(k, usual) + REACH * max(way, reach.get(k, way)) for k in range(len(self.languages))]
+        known = [k for k in middle if k not in small] or list(middle)
+        usual, way = float(np.median([middle[k] for k in known])), float(np.median([reach[k] for k in known]))
+        for k in middle:
+            self.limits[k] = (max(middle[k], usual) if k in small else middle[k]) + REACH * max(way, reach[k])
 
     def predict(self, bits: np.ndarray) -> tuple[list[str], list[float], list[float | None], list[bool]]:
         """Language, score, bits a character and whether it is rejected."""
@@ -277,9 +281,10 @@ def fit(
                     mine[word] = mine.get(word, 0) + 1
     counted = {k: v for k, v in counted.items() if v}
     models = LanguageModels(counted)
-    known = [(t, x) for t, x in zip(held_texts, held_langs, strict=True) if x in counted]
-    if models.languages and known:
-        models.calibrate([t for t, _ in known], [x for _, x in known])
+    if models.languages:
+        held = [(t, x) for t, x in zip(held_texts, held_langs, strict=True) if x in counted]
+        small = [(t, x) for x, texts in sampled.items() if x in counted and len(texts) < LEAST_HELD for t in texts]
+        models.calibrate([t for t, _ in held], [x for _, x in held], [t for t, _ in small], [x for _, x in small])
     return models
 
 
