@@ -68,6 +68,19 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers each that may be sent to every executor.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed frame of narrow rows, to be broadcast if it has no more than `rows` of them.
+
+    Without the hint the other side of a join, which may hold whole texts, is dealt out before its size
+    is known to be small; beyond the bound it has to be.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def checkpoint_of(df: DataFrame) -> str:
     """The folder of a frame that durable() has made."""
     return df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
@@ -124,13 +137,12 @@ _held: dict[str, object] = {}
 
 
 def let_go() -> None:
-    """Free what this worker process holds, and give the memory back to the system."""
-    if _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    """Free what this worker process holds, and give its unused memory back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def hold(key: str, build: Callable[[], object]) -> object:

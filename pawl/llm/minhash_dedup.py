@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pawl.llm.common import durable, map_texts, quoted
+from pawl.llm.common import broadcast_if_small, durable, map_texts, quoted
 from pawl.llm.components import connected_components
 
 CHUNKS = 11
@@ -281,7 +281,8 @@ def components_of(docs: DataFrame, shingle_words: int, percent: int, id_col: str
     close = durable(close.select("node", "component", F.col("set_key").alias("wanted_key"), F.col("rep").alias("wanted_id")))
 
     # one text stands for a class; rows of its id with other texts drop out by their sets
-    standing = named.select("doc_id", "text").join(close.select("wanted_id").distinct(), F.col("doc_id") == F.col("wanted_id"), "left_semi")
+    wanted = broadcast_if_small(durable(close.select("wanted_id").distinct()))
+    standing = named.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
 
     def make_sets():
         def work(texts):
@@ -330,6 +331,7 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
     apart = durable(judged.where("NOT best OR rows > 1"))
     marked = docs.withColumn(MARK_ID, quoted(id_col)).withColumn(MARK_DIGEST, digest)
     same = (F.col(MARK_ID) == F.col("i")) & (F.col(MARK_DIGEST) == F.col("d"))
-    stay = marked.join(apart.select("i", "d"), same, "left_anti")
-    once = marked.join(apart.where("best").select("i", "d"), same, "left_semi").dropDuplicates([MARK_ID, MARK_DIGEST])
+    twice = durable(apart.where("best").select("i", "d"))
+    stay = marked.join(broadcast_if_small(apart.select("i", "d")), same, "left_anti")
+    once = marked.join(broadcast_if_small(twice), same, "left_semi").dropDuplicates([MARK_ID, MARK_DIGEST])
     return stay.union(once).drop(MARK_ID, MARK_DIGEST)
