@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pawl.llm.bpe import Remembered
-from pawl.llm.common import map_texts, quoted
+from pawl.llm.common import let_go, map_texts, quoted
 
 #: Labelled documents that the model is fitted on at most, taken by a hash of the id.
 TRAIN_ROWS = 12_000
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
     ids are broadcast. Whole texts count, however long. Without labelled documents, or with those of one
     label only, the model has its bias alone.
     """
+    let_go()  # what earlier fits have left in the driver
     picked = (
         labels.where(learn_from & quoted(id_col).isNotNull() & quoted(label_col).isNotNull())
         .groupBy(quoted(id_col).alias("__id"))
