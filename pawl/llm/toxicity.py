@@ -54,7 +54,7 @@ def standing_apart(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> np.nda
 
 def telling_pairs(rows: Sequence[np.ndarray], toxic: np.ndarray, terms: np.ndarray, alone: np.ndarray, batch: int = 1000) -> np.ndarray:
     """For each of `terms` the highest deviation of a pair that tells more than its terms alone, or 0."""
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, "i4")
     place[terms] = np.arange(len(terms))
     both = np.zeros((2, len(terms), len(terms)), "f4")
     for label in (0, 1):
@@ -114,10 +114,9 @@ class FactorizationMachine:
         bias = math.log(prior / (1 - prior))
         if not n1 or not n0:
             return cls({}, bias, np.zeros(0), np.zeros((0, FACTORS)))
-        flat = np.concatenate(rows) if rows else np.zeros(0, "i8")
-        whose = np.repeat(toxic, [len(r) for r in rows])
-        in1 = np.bincount(flat[whose == 1], minlength=SLOTS)
-        in0 = np.bincount(flat[whose == 0], minlength=SLOTS)
+        in0, in1 = np.zeros(SLOTS, "i8"), np.zeros(SLOTS, "i8")
+        for r, label in zip(rows, toxic, strict=True):
+            (in1 if label else in0)[r] += 1  # a text's slots are distinct
         deviations = standing_apart(in1, in0, n1, n0)
         often = np.argsort(-(in1 + in0), kind="stable")[:PAIR_TERMS]
         often = often[(in1 + in0)[often] >= MIN_DOCS]
@@ -125,7 +124,7 @@ class FactorizationMachine:
         chosen = np.flatnonzero((deviations >= MIN_DEVIATIONS) & (in1 + in0 >= MIN_DOCS))
         chosen = chosen[np.argsort(-deviations[chosen], kind="stable")][:MAX_FEATURES]
         slots = {int(s): i for i, s in enumerate(chosen)}
-        place = np.full(SLOTS, -1)
+        place = np.full(SLOTS, -1, "i4")
         place[chosen] = np.arange(len(chosen))
         features = [(p := place[r])[p >= 0] for r in rows]
 
@@ -183,9 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int
     joined = docs.select(quoted(id_col).alias("__doc"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
     joined = joined.groupBy("__id", "__toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = hashed_terms(joined.select("__id", "__toxic", "text"), "text", ["__id", "__toxic"]).toArrow()
-    lists = found["slots"].combine_chunks()
-    bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    rows = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    rows: list[np.ndarray] = []
+    for lists in found["slots"].chunks:
+        bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        rows += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     ids, toxic = found["__id"].to_pylist(), np.asarray(found["__toxic"], "f8").clip(0, 1)
     order = sorted(range(len(rows)), key=lambda k: (ids[k], zlib.crc32(rows[k].tobytes())))
     return FactorizationMachine.learn([rows[k] for k in order], toxic[order])
