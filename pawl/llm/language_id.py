@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pawl.llm.common import map_texts, quoted
+from pawl.llm.common import durable, map_texts, quoted
 
 ORDER = 5
 UNKNOWN = "und"
@@ -239,6 +239,22 @@ def held_out_id(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.encode(quoted(id_col).cast("string"), "UTF-8")) % folds == fold, F.lit(False))
 
 
+def least_hashes(hashes: DataFrame, n: int) -> DataFrame:
+    """Of the distinct (lang, h) the n of least h of each lang, or all if it has fewer.
+
+    Hashes are counted by their leading bits first; only those up to the bucket that holds the n-th are
+    ranked, so that no task sorts all hashes of a frequent language.
+    """
+    bucketed = hashes.withColumn("bucket", F.shiftright("h", 52))
+    upwards = Window.partitionBy("of").orderBy("bucket")
+    counts = bucketed.groupBy(F.col("lang").alias("of"), "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    running = counts.withColumn("upto_here", F.sum("rows").over(upwards))
+    last = running.groupBy("of").agg(F.min(F.when(F.col("upto_here") >= n, F.col("bucket"))).alias("last"))
+    near = bucketed.join(F.broadcast(last), (F.col("lang") == F.col("of")) & (F.col("last").isNull() | (F.col("bucket") <= F.col("last"))))
+    nth = Window.partitionBy("lang").orderBy("h")
+    return near.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= n).select("lang", "h")
+
+
 def fit(
     docs: DataFrame,
     learn_from: Column,
@@ -259,8 +275,7 @@ def fit(
     hashed = F.xxhash64(F.lit("sample"), quoted(id_col), quoted(text_col).cast("string"))
     usable = docs.where(learn_from & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
     usable = usable.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"), hashed.alias("h"))
-    nth = Window.partitionBy("lang").orderBy("h")
-    lowest = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= train_docs)
+    lowest = least_hashes(durable(usable.select("lang", "h").distinct()), train_docs)
     upto = lowest.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("upto"))
     # one row a language, so less than the model itself, which every worker holds
     sample = usable.join(F.broadcast(upto), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("upto"))).groupBy("lang", "h").agg(F.first("text").alias("text"))

@@ -204,6 +204,18 @@ def test_op9(spark, sf, documents):
             assert r.lang_pred == models.languages[int((bits[:-1] / bits[-1]).argmin())]
 
 
+def test_least_hashes(spark):
+    """Exactly the n least of each language, whether it has fewer, as many, or one bucket holds them all."""
+    rng = random.Random(9)
+    hashes = {"many": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(5000)], "few": [-5, 7, 1 << 62], "alike": list(range(300)), "just": list(range(-50, 50))}
+    rows = [(lang, h) for lang, hs in hashes.items() for h in set(hs)]
+    found = defaultdict(list)
+    for lang, h in language_id.least_hashes(spark.createDataFrame(rows, "lang string, h long"), 100).collect():
+        found[lang].append(h)
+    assert {lang: sorted(hs) for lang, hs in found.items()} == {lang: sorted(set(hs))[:100] for lang, hs in hashes.items()}
+    assert not language_id.least_hashes(spark.createDataFrame([], "lang string, h long"), 100).collect()
+
+
 def test_a_language_of_one_document(spark):
     """It is learned; so are languages whose rows share an id, or have none."""
     rows = [(k, "der die das und nicht mit", "de") for k in range(60)] + [(900, "xylo zyx qwax", "xx")]
