@@ -29,8 +29,8 @@ def query(sql: str | None = None):
 
 
 PARTS = """
-items AS (SELECT 'src/part.rs::p' || l_partkey AS key, l_partkey AS ord, count(*) AS value FROM lineitem
-  WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_partkey % 7 <> 0 GROUP BY l_partkey),
+items AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'src/moved.rs::p' ELSE 'src/part.rs::p' END || l_partkey AS key, l_partkey AS ord, count(*) AS value FROM lineitem
+  WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY l_partkey),
 earlier AS (SELECT 'src/part.rs::p' || l_partkey AS key, l_partkey AS ord, count(*) AS ceiling FROM lineitem
   WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY l_partkey),
 base AS (SELECT key, ceiling FROM earlier WHERE ceiling > 12)"""
@@ -358,9 +358,9 @@ def observations_long(spark, d):
 def _side(year: int) -> str:
     value = "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE n END" if year == 1996 else "n"
     return f"""(SELECT 'cyclomatic@p' || l_partkey AS id, 'p' || l_partkey AS entity, false AS lint, {value} AS v, 4 AS t
-  FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1) WHERE NOT (l_partkey % 10 = 3 AND ({value}) IS NULL)
+  FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1)
   UNION ALL SELECT 'dead_code@p' || l_partkey, 'p' || l_partkey, true, n, 0
-  FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1) WHERE l_partkey % 5 = 0 AND n > 3)"""
+  FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1) WHERE n > 3)"""
 
 
 COMPARED = f"""WITH b AS {_side(1996)}, a AS {_side(1997)},
@@ -393,16 +393,17 @@ def snapshot_decision(spark, d):
     return found.withColumn("n_reasons", F.size("reasons").cast("long")).drop("reasons")
 
 
-@query("""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS hash, source FROM documents WHERE doc_id % 5 <> 0),
-a AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(CASE WHEN doc_id % 9 = 0 THEN text || '!' ELSE text END) AS hash, source FROM documents WHERE doc_id % 6 <> 0)
+@query("""WITH b AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'old/' ELSE '' END || doc_id AS id, sha256(text) AS hash FROM documents),
+a AS (SELECT CASE WHEN doc_id % 6 = 0 THEN 'new/' ELSE '' END || doc_id AS id, sha256(CASE WHEN doc_id % 9 = 0 THEN text || '!' ELSE text END) AS hash FROM documents)
 SELECT 'test' AS kind, b.id FROM b LEFT JOIN a USING (id) WHERE a.hash IS DISTINCT FROM b.hash
 UNION ALL SELECT 'gate', b.id FROM b LEFT JOIN a USING (id) WHERE coalesce(a.hash, sha256('')) <> b.hash
 UNION ALL SELECT 'removed', b.id FROM b WHERE id NOT IN (SELECT id FROM a)""")
 def compat_reasons(spark, d):
-    docs = A.table(spark, d, "documents")
-    side = lambda rows, text: rows.select(F.col("doc_id").cast("string").alias("id"), F.sha2(text, 256).alias("hash"))
-    before = side(docs.where("doc_id % 5 <> 0"), F.col("text"))
-    after = side(docs.where("doc_id % 6 <> 0"), F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    """All documents on both sides: some renamed since, some new under their name, some with another text."""
+    docs, n = A.table(spark, d, "documents"), F.col("doc_id")
+    side = lambda prefix, text: docs.select(F.concat(prefix, n.cast("string")).alias("id"), F.sha2(text, 256).alias("hash"))
+    before = side(F.when(n % 5 == 0, "old/").otherwise(""), F.col("text"))
+    after = side(F.when(n % 6 == 0, "new/").otherwise(""), F.when(n % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     tests = compare.changed_tests(before, after).select(F.lit("test").alias("kind"), "id")
     gates = compare.changed_gates(before, after).select(F.lit("gate").alias("kind"), "id")
     return tests.union(gates).union(compare.removed(before, after, "id").select(F.lit("removed").alias("kind"), "id"))
@@ -426,13 +427,14 @@ def gate_digest(spark, d):
 
 
 @query("""WITH f AS (SELECT 's' || (p_partkey % 50) AS file, 'T' || (p_size % 20) AS name FROM part), dd AS (SELECT DISTINCT file, name FROM f),
-i AS (SELECT DISTINCT 'T' || (s_nationkey % 20) AS name FROM supplier), r AS (SELECT DISTINCT 'T' || (c_nationkey % 20) AS name FROM customer WHERE c_nationkey % 3 <> 0)
+i AS (SELECT DISTINCT 'T' || (s_nationkey % 20) AS name FROM supplier), r AS (SELECT DISTINCT CASE WHEN c_nationkey % 3 = 0 THEN 'U' ELSE 'T' END || (c_nationkey % 20) AS name FROM customer)
 SELECT dd.file || '::' || dd.name AS item, CASE WHEN i.name IS NULL THEN 1 ELSE 0 END AS missing FROM dd JOIN r USING (name) LEFT JOIN i USING (name)""")
 def error_type_scan(spark, d):
-    t = lambda c: F.concat(F.lit("T"), (c % 20).cast("string")).alias("name")
+    """Parts define types, suppliers implement them, customers return them and some others that no part defines."""
+    t = lambda c, prefix=F.lit("T"): F.concat(prefix, (c % 20).cast("string")).alias("name")
     defined = A.table(spark, d, "part").select(F.lit("root").alias("root"), F.concat(F.lit("s"), (F.col("p_partkey") % 50).cast("string")).alias("file"), t(F.col("p_size")))
     implemented = A.table(spark, d, "supplier").select(F.lit("root").alias("root"), t(F.col("s_nationkey")))
-    returned = A.table(spark, d, "customer").where("c_nationkey % 3 <> 0").select(F.lit("root").alias("root"), t(F.col("c_nationkey")))
+    returned = A.table(spark, d, "customer").select(F.lit("root").alias("root"), t(F.col("c_nationkey"), F.when(F.col("c_nationkey") % 3 == 0, "U").otherwise("T")))
     return observe.error_types(defined, implemented, returned)
 
 
