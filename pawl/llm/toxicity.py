@@ -95,7 +95,7 @@ class FactorizationMachine:
         return self.bias + float(self.weights[at].sum()) + pairs
 
     def scorer(self):
-        known = Remembered(lambda word: tuple(self.slots[k] for k in slots_of(word) if k in self.slots), most=200_000)
+        known = Remembered(lambda word: tuple(self.slots[k] for k in slots_of(word) if k in self.slots), most=100_000)
 
         def score(texts: Sequence[str | None]) -> list[float]:
             out = []
@@ -156,7 +156,7 @@ def hashed_terms(docs: DataFrame, text_col: str = "text", carry: Sequence[str] |
     """Append `slots`, the distinct slots of a text's terms in ascending order."""
 
     def make():
-        known = Remembered(slots_of, most=200_000)
+        known = Remembered(slots_of, most=100_000)
         return lambda texts: ([sorted(set().union(*map(known.__getitem__, set(WORDS.findall(text.lower()))))) if text else [] for text in texts],)
 
     return map_texts(docs, text_col, [("slots", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], make, carry)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pawl.llm import decontamination, language_id, license_scan, toxicity
-from pawl.llm.bpe import PrefixCounter, TextCounts, Transducer, Utf8Stream, Vocabulary, decode, splitter
+from pawl.llm.bpe import PrefixCounter, Remembered, TextCounts, Transducer, Utf8Stream, Vocabulary, decode, splitter
 from pawl.llm.bpe_codec import decode_ids, encode, round_trip
 from pawl.llm.token_counts import count_tokens
 
@@ -76,6 +76,15 @@ def test_codec(spark):
     assert round_trip(frame(spark, TEXTS).limit(0), RANKS, P.PATTERN).collect() == []
 
 
+def test_remembered_keeps_what_is_asked_for_often():
+    asked = []
+    known = Remembered(lambda key: asked.append(key) or len(key), most=3, longest=4)
+    for key in ["a", "b", "c", "a", "d", "a", "e", "f", "a", "g", "a", "toolong", "toolong"]:
+        assert known[key] == len(key)
+        assert len(known) <= 3 and len(known.older) <= 3
+    assert asked.count("a") == 1 and asked.count("toolong") == 2
+
+
 def test_utf8_stream():
     data = "aé漢😀".encode() + b"\xff\xf0\x9f"
     stream = Utf8Stream()
