@@ -1,8 +1,9 @@
-"""Rust files as rows, and their measurements as columns. A file is one unit of work."""
+"""Rust files as rows, and their measurements as columns. A file is one unit of work, and equal files are one."""
 
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +28,62 @@ MEASURED = T.StructType(
 )
 
 
+#: Characters of contents whose results a task remembers at most.
+REMEMBERED = 16 << 20
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, dealt by their keys over all cores.
+
+    For narrow rows from which files are made: a small table is read by one task, however much work its
+    rows are.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
+def each_once(work, most: int = REMEMBERED):
+    """A function from an Arrow array of contents to (results of different contents, place of each row's result).
+
+    Contents that are equal are worked on once in an array, and in later ones as long as they are
+    remembered. Null content has nothing in it.
+    """
+    known: dict[str, dict] = {}
+    held = 0
+
+    def results(content: pa.Array) -> tuple[list[dict], pa.Array]:
+        nonlocal held
+        encoded = pc.fill_null(content, "").dictionary_encode()
+        rows = []
+        for text in encoded.dictionary.to_pylist():
+            row = known.get(text)
+            if row is None:
+                row = work(text)
+                if len(text) <= most:
+                    if held + len(text) > most:
+                        known.clear()
+                        held = 0
+                    known[text] = row
+                    held += len(text)
+            rows.append(row)
+        return rows, encoded.indices
+
+    return results
+
+
 def _mapped(files: DataFrame, schema: T.StructType, work) -> DataFrame:
+    """Appends the fields of what work(content) gives."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType([*files.schema.fields, *schema.fields])
     arrow, names = to_arrow_schema(schema), files.columns
 
     def run(batches):
+        results = each_once(work)
         for batch in batches:
-            rows = [work(content, file) for content, file in zip(batch.column(names.index("content")).to_pylist(), batch.column(names.index("file")).to_pylist(), strict=True)]
-            columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow]
+            rows, places = results(batch.column(names.index("content")))
+            columns = [pa.array([r.get(f.name) for r in rows], f.type).take(places) for f in arrow]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in out.fields])
 
     return files.mapInArrow(run, out)
@@ -49,9 +96,9 @@ def measured(files: DataFrame, qualify_traits: bool = False) -> DataFrame:
     """
     from pawl.rust import lexer, metrics
 
-    def work(content: str | None, file: str) -> dict:
+    def work(content: str) -> dict:
         try:
-            found = metrics.measured(content or "", qualify_traits)
+            found = metrics.measured(content, qualify_traits)
         except lexer.Malformed as fault:
             return {"malformed": str(fault)}
         return {"functions": found["functions"], "file_counts": found["file"], "error_facts": [{"fact": a, "name": b} for a, b in found["error_facts"]]}
@@ -81,11 +128,18 @@ def file_rows(parsed: DataFrame) -> DataFrame:
 
 
 def error_rows(parsed: DataFrame) -> DataFrame:
-    """(item, missing) of each root's error types; every root sees its whole tree."""
+    """(item, missing) of each root's error types; every root sees its whole tree.
+
+    The facts of a file and name are one number, a bit for each kind, so that the three sides come from one
+    shuffle of them and the files are parsed once.
+    """
     from pawl.operators.observe import error_types
 
+    bits = {"defined": 1, "implemented": 2, "returned": 4}
     facts = parsed.select("root", "file", F.explode("error_facts").alias("x")).select("root", "file", "x.*")
-    side = lambda fact: facts.where(F.col("fact") == fact)
+    bit = F.coalesce(*[F.when(F.col("fact") == fact, n) for fact, n in bits.items()])
+    seen = facts.repartition("root", "file", "name").groupBy("root", "file", "name").agg(F.bit_or(bit).alias("seen"))
+    side = lambda fact: seen.where(F.col("seen").bitwiseAND(F.lit(bits[fact])) > 0)
     return error_types(side("defined").select("root", "file", "name"), side("implemented").select("root", "name"), side("returned").select("root", "name"))
 
 
@@ -94,7 +148,7 @@ def code_lines(files: DataFrame) -> DataFrame:
     from pawl.rust import lexer
 
     schema = T.StructType([T.StructField("code_lines", T.ArrayType(T.LongType()))])
-    return _mapped(files, schema, lambda content, file: {"code_lines": lexer.code_lines(content or "")})
+    return _mapped(files, schema, lambda content: {"code_lines": lexer.code_lines(content)})
 
 
 def contracts(files: DataFrame) -> DataFrame:
@@ -107,10 +161,12 @@ def contracts(files: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("contracts", T.ArrayType(CONTRACT))])
 
-    def work(content: str | None, file: str) -> dict:
-        return {"contracts": [{"kind": a, "id": b, "text": c} for a, b, c in metrics.contracts(content or "", file)]}
+    def work(content: str) -> dict:
+        # ids begin with the file's name, which is put in front below
+        return {"contracts": [{"kind": a, "id": b, "text": c} for a, b, c in metrics.contracts(content, "")]}
 
-    rows = _mapped(files, schema, work).select(F.explode("contracts").alias("x")).select("x.*")
+    found = _mapped(files, schema, work).select("file", F.explode("contracts").alias("x"))
+    rows = found.select("x.kind", F.concat("file", "x.id").alias("id"), "x.text")
     text = F.array_join(F.array_sort(F.collect_list("text")), "\n")
     twice = F.raise_error(F.concat(F.lit("two tests share the name "), F.col("id"))).cast("string")
     return rows.groupBy("kind", "id").agg(F.when((F.col("kind") == "test") & (F.count(F.lit(1)) > 1), twice).otherwise(F.sha2(text, 256)).alias("hash"))

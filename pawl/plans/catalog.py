@@ -511,7 +511,8 @@ def _generated(spark, d):
 
 def _files(spark, d, body):
     name = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".rs"))
-    return A.table(spark, d, "part").select(F.lit("src").alias("root"), F.lit(0).alias("root_ord"), name.alias("file"), F.col("p_partkey").alias("ord"), body.alias("content"))
+    parts = source.dealt(A.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select(F.lit("src").alias("root"), F.lit(0).alias("root_ord"), name.alias("file"), F.col("p_partkey").alias("ord"), body.alias("content"))
 
 
 def _varied(spark, d):
