@@ -40,7 +40,7 @@ def test_error_types_come_from_one_pass(spark, tmp_path):
     assert scans() == len(rows)
 
 
-DEALT = ["error_types_of_files", "file_shapes", "function_shapes", "function_metrics", "file_metrics"]
+DEALT = ["error_types_of_files", "file_shapes", "function_shapes", "function_metrics", "file_metrics", "contract_hashes"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -64,3 +64,16 @@ def test_equal_contents_are_worked_on_once():
     assert [rows[k]["n"] for k in places.to_pylist()] == [1, 9, 2, 3, 9, 1]
     # what is longer than all that is remembered is not, and remembering too much forgets the rest
     assert done == ["aa", "", "b", "long text", "ccc"]
+
+
+def test_contracts_of_equal_files_bear_their_own_names(spark, monkeypatch):
+    from pawl.rust import metrics
+
+    monkeypatch.setattr(source, "_mapped", lambda files, schema, work: files.sparkSession.createDataFrame([(r.file, work(r.content)["contracts"]) for r in files.collect()], T.StructType([files.schema["file"], *schema.fields])))
+    text = "#[test] fn a() { x(); }\n"
+    given = spark.createDataFrame([("x.rs", text), ("y.rs", text), ("z.rs", "fn ("), ("w.rs", "")], "file string, content string")
+    wanted = {(k, i, metrics.digest(t)) for r in given.collect() for k, i, t in metrics.contracts(r.content, r.file)}
+    assert {tuple(r) for r in source.contracts(given).collect()} == wanted and ("test", "z.rs#unparsed", metrics.digest("fn (")) in wanted
+    # what is worked out of a content holds no file's name, so that it serves every file of that content
+    monkeypatch.setattr(metrics, "contracts", lambda content, file: [("gate", file, content)])
+    assert {r.id for r in source.contracts(given).collect()} == {"x.rs", "y.rs", "z.rs", "w.rs"}
