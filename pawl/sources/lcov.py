@@ -16,12 +16,37 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return text.select(place["file_path"].alias("trace"), place["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
 
 
+#: A window over blocks holds as many of them as this number of bits can tell apart.
+BITS = 16
+
+
+def carried(ends: DataFrame, levels: int = 4) -> DataFrame:
+    """Adds carried to the ends (trace, block, end) of blocks: the last end of the trace's blocks before it.
+
+    block: a long that names no two blocks of a trace. Blocks that differ in their last bits only are a bucket,
+    and a bucket's end is its last block's; buckets are blocks of the next level. So no task holds a trace.
+    """
+    order = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda over: F.last("end", ignorenulls=True).over(over)
+    if levels == 1:
+        return ends.withColumn("carried", last(order("trace")))
+    # one shuffle, for the window and for the next level
+    dealt = ends.withColumn("bucket", F.shiftright("block", BITS)).repartition("trace", "bucket")
+    known = F.when(F.col("end").isNotNull(), F.col("block"))
+    upper = carried(dealt.groupBy("trace", F.col("bucket").alias("block")).agg(F.max_by("end", known).alias("end")), levels - 1)
+    above = upper.select(F.col("trace").alias("t"), F.col("block").alias("b"), F.col("carried").alias("above"))
+    inside = dealt.withColumn("inside", last(order("trace", "bucket")))
+    # null-safe, as a plain join would filter nulls below the shuffle, on one side only, and so do it twice
+    rows = inside.join(above, F.col("trace").eqNullSafe(F.col("t")) & F.col("bucket").eqNullSafe(F.col("b")))
+    return rows.select("trace", "block", "end", F.coalesce("inside", "above").alias("carried"))
+
+
 def with_file(lines: DataFrame, root: str) -> DataFrame:
     """Adds file, the source of the record that a line stands in, and before, that of the line before it;
     both are null outside records.
 
-    The last source of each block is carried to the blocks behind it over the small table of blocks, so
-    a trace of any length is read by many tasks.
+    The last source of each block is carried to the blocks behind it over the table of blocks, bucket by
+    bucket, so a trace of any length is read by many tasks.
     """
     raw = F.substring("line", 4, 1 << 30)
     marker = F.when(F.startswith("line", F.lit("SF:")), F.struct(repo_relative(raw, root).alias("file"))).when(
@@ -29,9 +54,8 @@ def with_file(lines: DataFrame, root: str) -> DataFrame:
     )
     marked = lines.withColumn("marker", marker)
     ends = marked.groupBy("trace", "block").agg(F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("ord"))).alias("end"))
-    earlier_blocks = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col("trace").alias("t"), F.col("block").alias("b"), F.last("end", ignorenulls=True).over(earlier_blocks).alias("carried"))
-    rows = marked.join(carried, (F.col("trace") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
+    before = carried(ends.withColumn("block", F.col("block").cast("long"))).select(F.col("trace").alias("t"), F.col("block").alias("b"), "carried")
+    rows = marked.join(before, (F.col("trace") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
     inside = Window.partitionBy("trace", "block").orderBy("ord")
     upto, short_of = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     state = lambda over: F.coalesce(F.last("marker", ignorenulls=True).over(over), F.col("carried"))["file"]

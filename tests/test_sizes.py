@@ -1,6 +1,8 @@
 """Work that grows with the tables: spread over tasks, done once, no more memory in one task."""
 
 import os
+import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import types as T
 
 from pawl.functions import source
 from pawl.plans import catalog
+from pawl.sources import lcov
 
 ONE = "pub struct Fault;\npub fn f() -> Result<u8, Fault> { Ok(1) }\n"
 
@@ -77,3 +80,25 @@ def test_contracts_of_equal_files_bear_their_own_names(spark, monkeypatch):
     # what is worked out of a content holds no file's name, so that it serves every file of that content
     monkeypatch.setattr(metrics, "contracts", lambda content, file: [("gate", file, content)])
     assert {r.id for r in source.contracts(given).collect()} == {"x.rs", "y.rs", "z.rs", "w.rs"}
+
+
+def test_a_trace_of_many_blocks_is_no_work_of_one_task(spark, monkeypatch):
+    """Ends are carried as by one pass over each trace, in windows of a few blocks each."""
+    rng = random.Random(5)
+    rows = []
+    for trace in "ab":
+        for block in [*range(40), -9, -1, 70, 71, 1 << 20, 1 << 40, (1 << 62) + 5]:
+            rows.append((trace, block, rng.choice([None, None, (None,), (f"f{block}",)])))
+    wanted, last = {}, {}
+    for trace, block, end in sorted(rows, key=lambda r: r[:2]):
+        wanted[trace, block] = last.get(trace)
+        last[trace] = last.get(trace) if end is None else end
+    ends = spark.createDataFrame(rng.sample(rows, len(rows)), "trace string, block long, end struct<file: string>")
+    for bits, levels in ((16, 4), (2, 4), (3, 2)):
+        monkeypatch.setattr(lcov, "BITS", bits)
+        found = lcov.carried(ends, levels)
+        assert {(r.trace, r.block): r.carried and tuple(r.carried) for r in found.collect()} == wanted
+    lines = spark.createDataFrame([("t", 0, 0, "SF:x"), ("t", 1, 1, "DA:1,1")], "trace string, block long, ord long, line string")
+    assert [tuple(r) for r in lcov.line_records(lines).collect()] == [("x", 1, 1)]
+    windows = re.findall(r"windowspecdefinition\((.*?) ASC", lcov.with_file(lines, "")._jdf.queryExecution().analyzed().toString())
+    assert sum("bucket" in w for w in windows) == 3
