@@ -43,7 +43,7 @@ def test_error_types_come_from_one_pass(spark, tmp_path):
     assert scans() == len(rows)
 
 
-DEALT = ["error_types_of_files", "file_shapes", "function_shapes", "function_metrics", "file_metrics", "contract_hashes", "halstead_of_files"]
+DEALT = ["error_types_of_files", "file_shapes", "function_shapes", "function_metrics", "file_metrics", "contract_hashes", "halstead_of_files", "code_lines"]
 
 
 @pytest.mark.parametrize("name", DEALT)
