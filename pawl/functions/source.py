@@ -35,8 +35,8 @@ REMEMBERED = 16 << 20
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows, dealt by their keys over all cores.
 
-    For narrow rows from which files are made: a small table is read by one task, however much work its
-    rows are.
+    For narrow rows from which files or log lines are made: a small table is read by one task, however much
+    work its rows are.
     """
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

@@ -318,14 +318,16 @@ LOG = """log AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE even
 
 def _log(spark, d):
     """The events as the lines of a lint log: some without a code, without a primary span, or no JSON at all."""
-    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
+    number = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
+    events = source.dealt(A.table(spark, d, "events").select("event_id", "user_id", "event_type", "props"), "event_id").withColumn("k", number)
+    k = F.col("k")
     span = lambda line, primary: F.struct(F.concat(F.lit("./src/u"), F.col("user_id").cast("string"), F.lit(".rs")).alias("file_name"), line.alias("line_start"), F.lit(3).cast("long").alias("column_start"), primary.alias("is_primary"))
     shape = F.col("event_id") % 3
     spans = F.when(shape == 0, F.array(span(k + 1, F.lit(False)), span(k, F.lit(True)))).when(shape == 1, F.array(span(-k - 1, F.lit(True)))).otherwise(F.array(span(k, F.lit(False))))
     code = F.when(F.col("event_id") % 7 != 0, F.struct(F.col("event_type").alias("code")))
     line = F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.struct(F.lit("warning").alias("level"), F.lit("m").alias("message"), code.alias("code"), spans.alias("spans")).alias("message")))
     text = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), line)).otherwise(line)
-    return lintlog.parsed(A.table(spark, d, "events").select(F.col("event_id").alias("ord"), text.alias("line")))
+    return lintlog.parsed(events.select(F.col("event_id").alias("ord"), text.alias("line")))
 
 
 @query(f"""WITH {LOG} SELECT code, CASE shape WHEN 2 THEN '<unknown>' ELSE 'src/u' || u || '.rs' END AS file, CASE shape WHEN 0 THEN k ELSE 0 END AS line,

@@ -24,9 +24,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Adds v, the fields of a line's JSON, null for lines that are none. lines: ord, line."""
+    """Adds v, the fields of a line's JSON, null for lines that are none. lines: ord, line.
+
+    The condition on the row's number always holds. It keeps filters on v above, which would otherwise be
+    moved below with a copy of the parse for each field that they read.
+    """
     good = F.expr("try_parse_json(line)").isNotNull()
-    return lines.select("ord", "line", F.when(good, F.from_json("line", SCHEMA)).alias("v"))
+    return lines.select("ord", "line", F.when((F.monotonically_increasing_id() >= 0) & good, F.from_json("line", SCHEMA)).alias("v"))
 
 
 def rebuilt_local() -> Column:
@@ -76,12 +80,13 @@ def faults(log: DataFrame, members: Sequence[str]) -> DataFrame:
         .alias("fault"),
         F.col("line").alias("detail"),
     ).where("fault IS NOT NULL")
-    ends = rows.agg(F.max(F.when(F.col("v.reason") == "build-finished", F.col("ord"))).alias("done"), F.max("ord").alias("last"))
-    after = ends.where("done IS NULL OR last > done").select(F.lit("not finished").alias("fault"), F.lit("").alias("detail"))
-    wanted = log.sparkSession.createDataFrame([(m,) for m in members], "detail string")
-    built = rows.where(rebuilt_local()).select(F.col("v.package_id").alias("detail")).distinct()
-    missing = wanted.join(built, "detail", "left_anti").select(F.lit("not rebuilt").alias("fault"), "detail")
-    return bad.union(after).union(missing)
+    local = F.when(rebuilt_local() & F.col("v.package_id").isin(list(members)), F.col("v.package_id"))
+    ends = rows.agg(F.max(F.when(F.col("v.reason") == "build-finished", F.col("ord"))).alias("done"), F.max("ord").alias("last"), F.collect_set(local).alias("built"))
+    note = lambda fault, detail: F.struct(F.lit(fault).alias("fault"), detail.alias("detail"))
+    after = F.filter(F.array(note("not finished", F.lit(""))), lambda _: F.expr("done IS NULL OR last > done"))
+    wanted = F.array(*[F.lit(m) for m in members]).cast("array<string>")
+    missing = F.transform(F.filter(wanted, lambda m: ~F.array_contains("built", m)), lambda m: note("not rebuilt", m))
+    return bad.union(ends.select(F.inline(F.concat(after, missing))))
 
 
 def member_lines(log: DataFrame, members: Sequence[str]) -> DataFrame:
