@@ -1,5 +1,6 @@
 """Work that grows with the tables: spread over tasks, done once, no more memory in one task."""
 
+import itertools
 import os
 import random
 import re
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from pawl.functions import source
 from pawl.plans import catalog
+from pawl.rust import lexer, parser
 from pawl.sources import lcov, lintlog
 
 ONE = "pub struct Fault;\npub fn f() -> Result<u8, Fault> { Ok(1) }\n"
@@ -69,6 +71,31 @@ def test_equal_contents_are_worked_on_once():
     assert done == ["aa", "", "b", "long text", "ccc"]
 
 
+def test_a_token_is_tried_against_patterns_that_begin_like_it(monkeypatch):
+    tried = set()
+
+    class Noted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def match(self, text, at):
+            tried.add(text[at])
+            return self.pattern.match(text, at)
+
+    for name in ("RAW", "QUOTED", "CHAR", "LIFE", "NUMBER"):
+        monkeypatch.setattr(lexer, name, Noted(getattr(lexer, name)))
+    source = "fn f<'a>(x: &'a u8) -> u8 { /* y */ let z = x.0 + 1 - b'c'; r#\"s\"#; g(z, \"t\") }\n"
+    kinds = [t.text for g in lexer.tokenize(source) if g.kind == "group" for t in g.inner if t.kind in ("lit", "life")]
+    assert kinds == ["'a", "0", "1", "b'c'", "r#\"s\"#"] and tried <= set("bcr\"'0123456789")
+
+
+def test_an_operator_is_the_longest_that_starts_there():
+    for run in itertools.product("=<>.-:&|+*/!;#", repeat=3):
+        at = parser.Parser(lexer.tokenize("".join(run)) if "//" not in "".join(run) and "/*" not in "".join(run) else [])
+        if at.tokens:
+            assert at.operator() == max((op for op in parser.OPERATORS if "".join(run).startswith(op)), key=len, default="")
+
+
 def test_contracts_of_equal_files_bear_their_own_names(spark, monkeypatch):
     from pawl.rust import metrics
 
